@@ -63,7 +63,11 @@ def corpus_lines(spark, sf_dir):
 
 
 def term_frequency(spark, sf_dir):
-    return ranking.ordered_by_key(_corpus(spark, sf_dir).term_freq, "term", "doc_id")
+    return _corpus(spark, sf_dir).term_freq
+
+
+def term_frequency_by_key(spark, sf_dir):
+    return ranking.ordered_by_key(_corpus(spark, sf_dir).term_freq_table, "term", "doc_id")
 
 
 def corpus_term_frequency(spark, sf_dir):
@@ -230,6 +234,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             tokens,
             corpus_lines,
             term_frequency,
+            term_frequency_by_key,
             corpus_term_frequency,
             document_frequency,
             corpus_size,
@@ -367,6 +372,7 @@ WITH t AS (SELECT doc_id, text,
 SELECT doc_id, CASE WHEN text = '' THEN 0
   ELSE len(regexp_extract_all(closed, '\r\n|\r|\n')) + 1 END::BIGINT AS n_lines FROM t""",
         "term_frequency": tf_rows,
+        "term_frequency_by_key": tf_rows,
         "corpus_term_frequency": corpus_tf_rows,
         "document_frequency": tf + "\nSELECT term, count(*) AS df FROM tf GROUP BY term",
         "corpus_size": "SELECT count(DISTINCT doc_id) AS n FROM documents",
@@ -418,8 +424,8 @@ SELECT doc_id, term, weight, rank, round(CASE WHEN hi = lo THEN 50.0
         + raw.removeprefix("WITH")
         + """
 SELECT coalesce(r.doc_id, t.doc_id) AS doc_id, r.doc_id IS NOT NULL AS has_raw,
-  t.doc_id IS NOT NULL AS has_normalized, concat(r.doc_id, '.png') AS raw_name,
-  concat(t.doc_id, '-normalized.png') AS normalized_name
+  t.doc_id IS NOT NULL AS has_normalized, r.doc_id || '.png' AS raw_name,
+  t.doc_id || '-normalized.png' AS normalized_name
 FROM (SELECT DISTINCT doc_id FROM rawtags) r
 FULL JOIN (SELECT DISTINCT doc_id FROM tags) t ON r.doc_id = t.doc_id""",
         "stream_term_frequency": tf_rows,

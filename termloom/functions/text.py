@@ -18,7 +18,7 @@ WORD_BOUNDARY = (
 )
 # The leading look-ahead only rejects hopeless positions early.
 TOKEN_PATTERN = f"(?={TOKEN_CHARACTER}){WORD_BOUNDARY}{TOKEN_CHARACTER}+{WORD_BOUNDARY}"
-LINE_BREAK = r"\r\n|\r|\n"
+LINE_BREAK = r"\r\n?|\n"
 WHITESPACE = r"[\t\n\x0B\f\r ]+"
 RAW_WORD_DROPPED = '.:;()",?!<>/'
 RAW_WORD_MIN_LENGTH = 4
@@ -46,11 +46,15 @@ def raw_words(text: Column | str) -> Column:
 
 def lines(text: Column | str) -> Column:
     """The lines of a text; a final line break opens no further line."""
-    text = F.col(text) if isinstance(text, str) else text
-    closed = F.regexp_replace(text, rf"(?:{LINE_BREAK})\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(closed, LINE_BREAK)
-    )
+    parts = F.split(text, LINE_BREAK)
+    count = F.size(parts)
+    return F.slice(parts, F.lit(1), F.when(F.get(parts, count - 1) == "", count - 1).otherwise(count))
+
+
+def line_count(text: Column) -> Column:
+    """The number of `lines`, without making them."""
+    closed = (text == "") | text.endswith("\n") | text.endswith("\r")
+    return F.regexp_count(text, F.lit(LINE_BREAK)) + F.when(closed, 0).otherwise(1)
 
 
 def without_extension(name: Column | str) -> Column:

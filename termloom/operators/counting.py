@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.functions import text
 from termloom.functions.text import lines, raw_words, tokens
+from termloom.operators.partitioning import spread
 
 
 def _count_in_row(rows: DataFrame, key: str, words: Column, term: str, count: str) -> DataFrame:
-    ordered = rows.select(key, F.sort_array(words).alias("words"))
+    ordered = spread(rows.select(key, "text")).select(key, F.sort_array(words).alias("words"))
     starts = F.transform(
         "words",
         lambda word, i: F.when((i == 0) | (F.get("words", i - 1) != word), i),
@@ -38,13 +40,13 @@ def _count_in_row(rows: DataFrame, key: str, words: Column, term: str, count: st
 
 def has_repeated_ids(documents: DataFrame, key: str = "doc_id") -> bool:
     """Whether some document has several rows. Reads and shuffles ids only."""
-    repeated = documents.groupBy(key).count().where("count > 1")
-    return not repeated.isEmpty()
+    return documents.agg(F.count_distinct(key) < F.count(key)).first()[0]
 
 
 def tokenize(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(document, term), one row per token."""
-    return documents.select(key, F.explode(tokens("text")).alias("term"))
+    texts = spread(documents.select(key, "text"))
+    return texts.select(key, F.explode(tokens("text")).alias("term"))
 
 
 def document_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -53,7 +55,9 @@ def document_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def line_count(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    return documents.select(key, F.size(lines("text")).cast("bigint").alias("n_lines"))
+    """(document, n_lines)."""
+    texts = spread(documents.select(key, "text"))
+    return texts.select(key, text.line_count(F.col("text")).cast("bigint").alias("n_lines"))
 
 
 def term_frequency(documents: DataFrame, key: str = "doc_id") -> DataFrame:

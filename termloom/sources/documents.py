@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import without_extension
+from termloom.operators.partitioning import divide, has_few_splits
 
 
 def read_documents(
@@ -13,29 +14,7 @@ def read_documents(
 ) -> DataFrame:
     """(doc_id, text) of a Parquet table; other columns are not read."""
     table = spark.read.parquet(path)
-    return spread(table.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-
-
-def spread(documents: DataFrame) -> DataFrame:
-    """Divide a table of few input splits over all cores.
-
-    Tokenizing costs far more than reading, so a small table in one file must
-    not be one task. A large table has splits enough and is left in place.
-    """
-    return _divide(documents) if _has_few_splits(documents) else documents
-
-
-def _cores(spark: SparkSession) -> int:
-    return spark.sparkContext.defaultParallelism
-
-
-def _has_few_splits(table: DataFrame) -> bool:
-    return table.rdd.getNumPartitions() < 2 * _cores(table.sparkSession)
-
-
-def _divide(documents: DataFrame) -> DataFrame:
-    # Hashing on the text too keeps a document of many rows from one task.
-    return documents.repartition(2 * _cores(documents.sparkSession), "doc_id", "text")
+    return table.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
 
 def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -71,4 +50,4 @@ def stream_documents(
         F.col(text).alias("text"),
         F.col("_metadata.file_modification_time").alias("arrived"),
     )
-    return _divide(arriving) if _has_few_splits(present) else arriving
+    return divide(arriving) if has_few_splits(present) else arriving

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from termloom.operators.counting import has_repeated_ids, term_frequency
 from termloom.operators.ranking import ordered_by_score
 from termloom.operators.replacing import newest, without_superseded
-from termloom.sources.documents import spread
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -101,7 +100,6 @@ class CorpusTables:
             documents = newest(documents, "doc_id", *order)
         write_batch(documents.select("doc_id", "text"), self.documents_path, batch_id)
         stored = self._all_documents().where(F.col("batch_id") == batch_id)
-        stored = spread(stored.select("doc_id", "text"))
         write_batch(term_frequency(stored), self.term_freq_path, batch_id)
 
     def documents(self) -> DataFrame:

@@ -16,7 +16,6 @@ from termloom.operators.counting import count_terms, has_repeated_ids
 from termloom.operators.replacing import newest, without_superseded
 from termloom.operators.weighting import tf_idf
 from termloom.session import materialize
-from termloom.sources.documents import spread
 from termloom.sources.tables import CorpusTables, read_batches, write_batch
 
 
@@ -71,7 +70,6 @@ def score_documents(stream: DataFrame, idf_table: DataFrame, path: str, checkpoi
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         if has_repeated_ids(batch):
             batch = newest(batch, "doc_id", "arrived")
-        batch = spread(batch.select("doc_id", "text"))
         term_freq = materialize(count_terms(batch), "batch_term_freq")
         write_batch(batch.select("doc_id"), f"{path}/documents", batch_id)
         write_batch(tf_idf(term_freq, idf_table), f"{path}/scores", batch_id)
