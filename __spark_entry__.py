@@ -152,7 +152,7 @@ def score_against_snapshot(spark, sf_dir):
 
 
 def normalized_tags(spark, sf_dir):
-    return _corpus(spark, sf_dir).normalized_tags()
+    return _rounded(_corpus(spark, sf_dir).normalized_tags(), "font_size")
 
 
 def raw_word_frequency(spark, sf_dir):
@@ -163,6 +163,11 @@ def raw_word_top300(spark, sf_dir):
     return _corpus(spark, sf_dir).raw_tags()
 
 
+def raw_tag_font_size(spark, sf_dir):
+    tags = ranking.with_font_size(_corpus(spark, sf_dir).raw_tags(), "freq")
+    return _rounded(tags, "font_size")
+
+
 def document_name(spark, sf_dir):
     return replacing.document_names(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -172,12 +177,21 @@ def document_upsert(spark, sf_dir):
     return replacing.newest(turns, "conv_id", "turn", "role", "text")
 
 
-def incremental_term_frequency(spark, sf_dir):
+def _two_deliveries(spark: SparkSession, sf_dir: str) -> CorpusTables:
+    """All documents, then the newest turn of every conversation under its number."""
     tables = CorpusTables(spark, scratch_path(spark, "incremental"))
     tables.deliver(_documents(spark, sf_dir), 0)
     second = document_upsert(spark, sf_dir)
     tables.deliver(second.select(F.col("conv_id").alias("doc_id"), "text"), 1)
-    return tables.term_frequency()
+    return tables
+
+
+def incremental_term_frequency(spark, sf_dir):
+    return _two_deliveries(spark, sf_dir).term_frequency()
+
+
+def incremental_raw_tags(spark, sf_dir):
+    return _two_deliveries(spark, sf_dir).raw_tags()
 
 
 def term_freq_table_roundtrip(spark, sf_dir):
@@ -256,9 +270,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             normalized_tags,
             raw_word_frequency,
             raw_word_top300,
+            raw_tag_font_size,
             document_name,
             document_upsert,
             incremental_term_frequency,
+            incremental_raw_tags,
             term_freq_table_roundtrip,
             tsv_roundtrip,
             result_catalog,
@@ -294,6 +310,24 @@ def _term_cte(name: str, source: str) -> str:
 {name} AS (SELECT doc_id, lower(r) AS term FROM {name}_both WHERE r <> '')"""
 
 
+def _raw_cte(source: str) -> str:
+    return rf"""WITH words AS (
+  SELECT doc_id, lower(regexp_replace(unnest(regexp_split_to_array(text, '[\s\x0B]+')),
+    '[.:;()",?!<>/]', '', 'g')) AS term FROM {source}),
+raw AS (SELECT doc_id, term, count(*) AS freq FROM words
+  WHERE length(term) BETWEEN 4 AND 32 GROUP BY ALL),
+rawtags AS (SELECT *, row_number() OVER
+  (PARTITION BY doc_id ORDER BY freq DESC, term)::INT AS rank FROM raw QUALIFY rank <= 300)"""
+
+
+def _font_size(weight: str, source: str) -> str:
+    """SELECT of `source` with the font size of `weight` within each document."""
+    return f"""SELECT * EXCLUDE (lo, hi), round(CASE WHEN hi = lo THEN 50.0
+  ELSE 8 + 42 * (sqrt({weight}) - lo) / (hi - lo) END, 6) AS font_size
+FROM (SELECT *, sqrt(min({weight}) OVER (PARTITION BY doc_id)) AS lo,
+  sqrt(max({weight}) OVER (PARTITION BY doc_id)) AS hi FROM {source})"""
+
+
 def oracle_sql() -> dict[str, str]:
     documents = "SELECT doc_id, text FROM documents"
     terms = "WITH" + _term_cte("terms", documents)
@@ -348,13 +382,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT conv_id AS doc_id, text FROM ({newest}) UNION ALL SELECT doc_id, text"
         " FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)"
     )
-    raw = r"""WITH words AS (
-  SELECT doc_id, lower(regexp_replace(unnest(regexp_split_to_array(text, '[\s\x0B]+')),
-    '[.:;()",?!<>/]', '', 'g')) AS term FROM documents),
-raw AS (SELECT doc_id, term, count(*) AS freq FROM words
-  WHERE length(term) BETWEEN 4 AND 32 GROUP BY ALL),
-rawtags AS (SELECT *, row_number() OVER
-  (PARTITION BY doc_id ORDER BY freq DESC, term)::INT AS rank FROM raw QUALIFY rank <= 300)"""
+    raw = _raw_cte("documents")
     tf_rows = tf + "\nSELECT * FROM tf"
     corpus_tf_rows = terms + "\nSELECT term, count(*) AS tf FROM terms GROUP BY term"
     idf_rows = idf_ + "\nSELECT term, df, round(idf, 6) AS idf FROM idf"
@@ -384,12 +412,7 @@ SELECT doc_id, CASE WHEN text = '' THEN 0
         + "\nSELECT doc_id, term, tf, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf FROM s",
         "tf_idf_top300": tags + "\nSELECT * FROM tags",
         "tags_truncated_weight": weighted + "\nSELECT * FROM wtags",
-        "tag_font_size": weighted
-        + """,
-m AS (SELECT *, sqrt(min(weight) OVER (PARTITION BY doc_id)) AS lo,
-  sqrt(max(weight) OVER (PARTITION BY doc_id)) AS hi FROM wtags)
-SELECT doc_id, term, weight, rank, round(CASE WHEN hi = lo THEN 50.0
-  ELSE 8 + 42 * (sqrt(weight) - lo) / (hi - lo) END, 6) AS font_size FROM m""",
+        "tag_font_size": weighted + "\n" + _font_size("weight", "wtags"),
         "tags_as_array": tags
         + "\nSELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS tags FROM tags GROUP BY doc_id",
         "tf_idf_dense": grid
@@ -406,17 +429,22 @@ SELECT doc_id, term, weight, rank, round(CASE WHEN hi = lo THEN 50.0
         "tf_idf_by_union": single + "\nSELECT term, tf_idf FROM c",
         "score_against_snapshot": snapshot,
         "normalized_tags": tags
-        + ",\nc AS (SELECT term, round(sum(tf) * any_value(idf), 6) AS tf_idf FROM s GROUP BY term)"
-        "\nSELECT 'document' AS scope, doc_id, term, rank FROM tags UNION ALL"
-        f" SELECT 'corpus', -1, term, rank FROM ({corpus_top})",
+        + f""",
+c AS (SELECT term, round(sum(tf) * any_value(idf), 6) AS tf_idf FROM s GROUP BY term),
+both_scopes AS (SELECT 'document' AS scope, doc_id, term, floor(tf_idf)::INT AS weight, rank
+  FROM tags UNION ALL SELECT 'corpus', -1, term, floor(tf_idf)::INT, rank FROM ({corpus_top}))
+"""
+        + _font_size("weight", "both_scopes"),
         "raw_word_frequency": raw + "\nSELECT * FROM raw",
         "raw_word_top300": raw + "\nSELECT * FROM rawtags",
+        "raw_tag_font_size": raw + "\n" + _font_size("freq", "rawtags"),
         "document_name": "SELECT doc_id, regexp_replace(concat(source, '.', doc_id, '.txt'),"
         r" '\.[^./]*$', '') AS doc_name FROM documents",
         "document_upsert": newest,
         "incremental_term_frequency": "WITH"
         + _term_cte("terms", delivered)
         + "\nSELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL",
+        "incremental_raw_tags": _raw_cte(f"({delivered})") + "\nSELECT * FROM rawtags",
         "term_freq_table_roundtrip": tf_rows,
         "tsv_roundtrip": idf_ + "\nSELECT term, round(idf, 6) AS idf FROM idf",
         "result_catalog": tags

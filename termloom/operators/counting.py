@@ -16,26 +16,26 @@ from termloom.functions.text import lines, raw_words, tokens
 from termloom.operators.partitioning import spread
 
 
-def _count_in_row(rows: DataFrame, key: str, words: Column, term: str, count: str) -> DataFrame:
-    ordered = spread(rows.select(key, "text")).select(key, F.sort_array(words).alias("words"))
+def _runs_in_row(documents: DataFrame, key: str, words: Column) -> tuple[DataFrame, Column]:
+    """Rows to work on, and the array of (term, count) of each as a column of them.
+
+    The column is meant to be exploded as it is, for the reason given at `tokens`.
+    """
+    texts = spread(documents.select(key, "text"))
+    ordered = texts.select(key, F.sort_array(words).alias("words"))
     starts = F.transform(
         "words",
         lambda word, i: F.when((i == 0) | (F.get("words", i - 1) != word), i),
     )
-    runs = ordered.select(key, "words", F.array_compact(starts).alias("starts"))
-    following = lambda i: F.coalesce(F.get("starts", i + 1), F.size("words"))
-    return runs.select(
-        key,
-        F.inline(
-            F.transform(
-                "starts",
-                lambda start, i: F.struct(
-                    F.get("words", start).alias(term),
-                    (following(i) - start).cast("bigint").alias(count),
-                ),
-            )
-        ),
-    )
+    rows = ordered.select(key, "words", F.array_compact(starts).alias("starts"))
+
+    def run(start: Column, i: Column) -> Column:
+        following = F.coalesce(F.get("starts", i + 1), F.size("words"))
+        return F.struct(
+            F.get("words", start).alias("term"), (following - start).cast("bigint").alias("count")
+        )
+
+    return rows, F.transform("starts", run)
 
 
 def has_repeated_ids(documents: DataFrame, key: str = "doc_id") -> bool:
@@ -62,7 +62,8 @@ def line_count(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def term_frequency(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(document, term, tf) for documents of one row each. No shuffle."""
-    return _count_in_row(documents, key, tokens("text"), "term", "tf")
+    rows, runs = _runs_in_row(documents, key, tokens("text"))
+    return rows.select(key, F.inline(runs).alias("term", "tf"))
 
 
 def term_frequency_of_parts(parts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -98,7 +99,25 @@ def corpus_size(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def raw_word_frequency(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(document, term, freq) of raw words, for documents of one row each."""
-    return _count_in_row(documents, key, raw_words("text"), "term", "freq")
+    rows, runs = _runs_in_row(documents, key, raw_words("text"))
+    return rows.select(key, F.inline(runs).alias("term", "freq"))
+
+
+def raw_word_top(documents: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
+    """(document, term, freq, rank) of the `k` most frequent raw words of each document.
+
+    For documents of one row each: a row holds all there is to rank, so it is
+    cut where it is, without a shuffle.
+    """
+    rows, runs = _runs_in_row(documents, key, raw_words("text"))
+    descending = F.transform(runs, lambda run: F.struct((-run["count"]).alias("n"), run["term"]))
+    top = F.slice(F.array_sort(descending), 1, k)
+    return rows.select(key, F.posexplode(top).alias("position", "run")).select(
+        key,
+        F.col("run.term").alias("term"),
+        (-F.col("run.n")).alias("freq"),
+        (F.col("position") + 1).alias("rank"),
+    )
 
 
 def count_raw_words(documents: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -106,15 +106,11 @@ def dense_top(
     )
 
 
-def with_font_size(tags: DataFrame, key: str = "doc_id") -> DataFrame:
+def with_font_size(tags: DataFrame, weight: str = "weight", key: str = "doc_id") -> DataFrame:
     """Tags with the size each is shown at within its document."""
     document = Window.partitionBy(key)
-    return tags.withColumn(
-        "font_size",
-        font_size(
-            F.col("weight"), F.min("weight").over(document), F.max("weight").over(document)
-        ),
-    )
+    smallest, largest = F.min(weight).over(document), F.max(weight).over(document)
+    return tags.withColumn("font_size", font_size(F.col(weight), smallest, largest))
 
 
 def tags_as_array(tags: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -128,11 +124,16 @@ def tags_as_array(tags: DataFrame, key: str = "doc_id") -> DataFrame:
 def normalized_tags(
     document_tags: DataFrame, corpus_tags: DataFrame, key: str = "doc_id"
 ) -> DataFrame:
-    """One table of both rankings; `scope` tells documents and corpus apart."""
-    return document_tags.select(
-        F.lit("document").alias("scope"), key, "term", "rank"
-    ).unionByName(
-        corpus_tags.select(
-            F.lit("corpus").alias("scope"), F.lit(-1).cast("bigint").alias(key), "term", "rank"
+    """Both rankings as one table (scope, document, term, weight, rank, font_size).
+
+    `scope` tells documents and corpus apart; the corpus has document -1.
+    """
+
+    def shown(tags: DataFrame, scope: str) -> DataFrame:
+        weighted = tags.withColumn("weight", truncated_weight(F.col("tf_idf")))
+        return with_font_size(weighted, key=key).select(
+            F.lit(scope).alias("scope"), key, "term", "weight", "rank", "font_size"
         )
-    )
+
+    corpus = corpus_tags.withColumn(key, F.lit(-1).cast("bigint"))
+    return shown(document_tags, "document").unionByName(shown(corpus, "corpus"))

@@ -29,9 +29,10 @@ def newest(rows: DataFrame, key: str, *order: str) -> DataFrame:
 def without_superseded(rows: DataFrame, versions: DataFrame, key: str, version: str) -> DataFrame:
     """Drop rows of versions that a newer version of the same key replaces.
 
-    `versions` lists the (key, version) pairs delivered so far. Few of them
-    are superseded as a rule: those are broadcast if their number allows, and
-    then `rows` is not shuffled.
+    `versions` lists the (key, version) pairs delivered so far, each once, so
+    a key has at most as many as there were deliveries. Few of them are
+    superseded as a rule: those are broadcast if their number allows, and then
+    `rows` is not shuffled.
     """
     current = versions.groupBy(key).agg(F.max(version).alias("current"))
     superseded = (
@@ -39,7 +40,6 @@ def without_superseded(rows: DataFrame, versions: DataFrame, key: str, version:
         .join(current, key)
         .where(F.col(version) < F.col("current"))
         .select(key, version)
-        .distinct()
     )
     if superseded.count() <= BROADCAST_PAIRS:
         superseded = F.broadcast(superseded)

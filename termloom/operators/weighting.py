@@ -33,16 +33,17 @@ def split_frequent(
 ) -> tuple[DataFrame, DataFrame]:
     """Split an IDF table into frequent terms, within `budget` bytes, and the rest.
 
-    A term is frequent if df >= sum(df * bytes) / budget. The frequent terms
-    together then take at most `budget` bytes, whatever the corpus, and no
-    remaining term has more than 1 / (budget / bytes) of all TF bytes, so the
-    rest can be shuffled by term without a hot key.
+    A term is frequent if df > sum(df * bytes) / budget. The frequent terms
+    together then take at most `budget` bytes, whatever the corpus, and a
+    remaining term has at most bytes / budget of all TF bytes, so the rest can
+    be shuffled by term without a hot key. The threshold is a whole number, so
+    every use of it cuts alike.
     """
-    row_bytes = F.octet_length("term") + ROW_BYTES
-    threshold = idf_table.agg(F.sum(F.col("df") * row_bytes.cast("double")) / budget).scalar()
+    row_bytes = f"df * (octet_length(term) + {ROW_BYTES})"
+    threshold = idf_table.agg(F.expr(f"sum({row_bytes}) div {budget}")).scalar()
     return (
-        idf_table.where(F.col("df") >= threshold),
-        idf_table.where(F.col("df") < threshold),
+        idf_table.where(F.col("df") > threshold),
+        idf_table.where(F.col("df") <= threshold),
     )
 
 

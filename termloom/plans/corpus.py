@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from termloom.operators import counting, ranking, replacing, weighting
 from termloom.session import materialize
@@ -72,13 +73,31 @@ class Corpus:
         corpus = weighting.corpus_tf_idf(self.term_freq_table, self.size)
         return ranking.normalized_tags(self.tags(), ranking.top_terms(corpus))
 
+    def document_scores(self, doc_id: int) -> DataFrame:
+        """(term, tf_idf) of one document over the whole vocabulary, highest first."""
+        one = self.term_freq_table.where(F.col("doc_id") == doc_id)
+        return ranking.ordered_by_score(weighting.single_tf_idf(one, self.idf_table))
+
+    def document_tags(self, doc_id: int) -> DataFrame:
+        """Top terms of one document."""
+        one = self.term_freq_table.where(F.col("doc_id") == doc_id)
+        return ranking.top_terms(weighting.single_tf_idf(one, self.idf_table))
+
     def raw_tags(self) -> DataFrame:
         """Most frequent raw words of every document."""
-        return ranking.top_raw_words(counting.count_raw_words(self.documents))
+        if counting.has_repeated_ids(self.documents):
+            return ranking.top_raw_words(counting.count_raw_words(self.documents))
+        return counting.raw_word_top(self.documents, ranking.RANKING_SIZE)
 
     def catalog(self) -> DataFrame:
-        """Which documents have raw tags and which have normalized ones."""
-        return replacing.result_catalog(self.raw_tags(), self.tags())
+        """Which documents have raw tags and which have normalized ones.
+
+        A ranking keeps at least one row of a document that has any, so the
+        documents of the unranked frequencies are those of the rankings.
+        """
+        return replacing.result_catalog(
+            counting.count_raw_words(self.documents), self.term_freq
+        )
 
     def score_snapshot(self, new_documents: DataFrame) -> DataFrame:
         """TF-IDF of documents outside the corpus by its IDF; unknown terms score 0."""

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.operators.counting import has_repeated_ids, term_frequency
-from termloom.operators.ranking import ordered_by_score
+from termloom.operators.counting import has_repeated_ids, raw_word_top, term_frequency
+from termloom.operators.ranking import RANKING_SIZE, ordered_by_score
 from termloom.operators.replacing import newest, without_superseded
 
 
@@ -77,9 +77,9 @@ def read_delimited(
 
 
 class CorpusTables:
-    """Documents and their term frequencies, appended delivery by delivery.
+    """Documents, their term frequencies and raw tags, appended delivery by delivery.
 
-    A delivery writes its own batch of both tables and touches no other, so
+    A delivery writes its own batch of each table and touches no other, so
     adding a document costs that document. The newest delivery of a document
     counts, decided on the document table: a text without any token leaves no
     TF row, yet replaces the earlier text.
@@ -87,8 +87,10 @@ class CorpusTables:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
-        self.documents_path = f"{root.rstrip('/')}/documents"
-        self.term_freq_path = f"{root.rstrip('/')}/term_freq"
+        root = root.rstrip("/")
+        self.documents_path = f"{root}/documents"
+        self.term_freq_path = f"{root}/term_freq"
+        self.raw_tags_path = f"{root}/raw_tags"
 
     def deliver(self, documents: DataFrame, batch_id: int, *order: str) -> None:
         """Store (doc_id, text) as batch `batch_id`.
@@ -101,6 +103,7 @@ class CorpusTables:
         write_batch(documents.select("doc_id", "text"), self.documents_path, batch_id)
         stored = self._all_documents().where(F.col("batch_id") == batch_id)
         write_batch(term_frequency(stored), self.term_freq_path, batch_id)
+        write_batch(raw_word_top(stored, RANKING_SIZE), self.raw_tags_path, batch_id)
 
     def documents(self) -> DataFrame:
         """(doc_id, text) of the newest delivery of each document."""
@@ -112,6 +115,11 @@ class CorpusTables:
             read_batches(self.spark, self.term_freq_path, "doc_id bigint, term string, tf bigint")
         )
 
+    def raw_tags(self) -> DataFrame:
+        """(doc_id, term, freq, rank) of the newest delivery of each document."""
+        schema = "doc_id bigint, term string, freq bigint, rank int"
+        return self._current(read_batches(self.spark, self.raw_tags_path, schema))
+
     def _all_documents(self) -> DataFrame:
         return read_batches(self.spark, self.documents_path, "doc_id bigint, text string")
 

@@ -42,7 +42,7 @@ def test_only_needed_columns_are_read(documents):
 
 def test_top_k_is_cut_before_the_shuffle(documents):
     corpus = Corpus(documents)
-    for tags in (corpus.tags(), corpus.weighted_tags(), corpus.raw_tags()):
+    for tags in (corpus.tags(), corpus.weighted_tags()):
         plan = physical(tags)
         assert "300, Partial" in plan and "300, Final" in plan
     assert "TakeOrderedAndProject(limit=300" in physical(
@@ -50,6 +50,11 @@ def test_top_k_is_cut_before_the_shuffle(documents):
     )
 
 
+def test_raw_words_are_ranked_without_a_shuffle(split_documents):
+    plan = physical(Corpus(split_documents).raw_tags())
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+
+
 def test_frequent_terms_meet_by_broadcast(documents):
     plan = physical(Corpus(documents).scores)
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan

@@ -103,6 +103,8 @@ def test_redelivery_replaces_the_document(store, documents):
     store.deliver(documents({1: "plum", 3: "fig"}), 1)
     assert rows(store.term_frequency(), "doc_id", "term", "tf") == expected
     assert rows(store.documents(), "doc_id", "text") == [(1, "plum"), (2, "pear"), (3, "fig")]
+    tags = [(1, "plum", 1, 1), (2, "pear", 1, 1)]
+    assert rows(store.raw_tags(), "doc_id", "term", "freq", "rank") == tags
 
 
 def test_a_text_without_tokens_replaces_too(store, documents):
@@ -148,7 +150,10 @@ def test_document_names(spark):
 
 
 def test_catalog(documents):
-    found = Corpus(documents({1: "apple", 2: "fig", 3: "12345", 4: ""})).catalog()
+    corpus = Corpus(documents({1: "apple", 2: "fig", 3: "12345", 4: ""}))
+    found = corpus.catalog()
+    listed = replacing.result_catalog(corpus.raw_tags(), corpus.tags())
+    assert rows(found, "doc_id", "has_raw") == rows(listed, "doc_id", "has_raw")
     assert rows(found, "doc_id", "has_raw", "has_normalized", "raw_name", "normalized_name") == [
         (1, True, True, "1.png", "1-normalized.png"),
         (2, False, True, None, "2-normalized.png"),

@@ -160,6 +160,25 @@ def test_dense_totals(documents):
     assert rows(totals, "doc_id", "cells", "zero_cells", "tf_idf_sum") == expected
 
 
+def test_one_document_of_the_corpus(documents):
+    texts = generated(40)
+    corpus = Corpus(documents(texts))
+    row = {term: s for (doc, term), s in brute.Model(texts).dense().items() if doc == 7}
+    expected = [(term, pytest.approx(s)) for term, s in sorted(row.items())]
+    assert rows(corpus.document_scores(7), "term", "tf_idf") == expected
+    top = [(7, r.term, r.rank) for r in corpus.document_tags(7).collect()]
+    assert sorted(top) == brute.rank({(7, term): s for term, s in row.items()}, 300)
+
+
+def test_raw_rankings_agree(spark, documents):
+    corpus = Corpus(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    by_window = ranking.top_raw_words(counting.count_raw_words(corpus.documents))
+    assert by_window.exceptAll(corpus.raw_tags()).isEmpty()
+    assert by_window.count() == corpus.raw_tags().count()
+    lines = counting.document_lines(corpus.documents).select("doc_id", F.col("line").alias("text"))
+    assert Corpus(lines).raw_tags().exceptAll(by_window).isEmpty()
+
+
 @pytest.mark.parametrize("k", [1, 3, 8, 300])
 def test_rankings_match_brute_force(documents, k):
     texts = {**generated(50), 99: ""}
