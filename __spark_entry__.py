@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.weights import SCORE_DIGITS
 from termloom.operators import counting, ranking, replacing, weighting
+from termloom.operators.partitioning import spread
 from termloom.plans.corpus import Corpus
 from termloom.session import scratch_path
 from termloom.sources.documents import read_documents, stream_documents
@@ -33,17 +34,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(_documents(spark, sf_dir))
+    return Corpus.read(spark, f"{sf_dir}/documents.parquet")
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str) -> Corpus:
     """Web pages, as documents that are not part of the corpus."""
-    return read_documents(spark, f"{sf_dir}/pages.parquet", "page_id", "html")
+    return Corpus.read(spark, f"{sf_dir}/pages.parquet", "page_id", "html")
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, tf) of all conversations read as the rows of one document."""
-    turns = read_documents(spark, f"{sf_dir}/conversations.parquet", "conv_id")
+    turns = spread(read_documents(spark, f"{sf_dir}/conversations.parquet", "conv_id"))
     return counting.corpus_term_frequency(counting.term_frequency(turns))
 
 
@@ -55,11 +56,11 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def tokens(spark, sf_dir):
-    return counting.tokenize(_documents(spark, sf_dir))
+    return counting.tokenize(spread(_documents(spark, sf_dir)))
 
 
 def corpus_lines(spark, sf_dir):
-    return counting.line_count(_documents(spark, sf_dir))
+    return counting.line_count(spread(_documents(spark, sf_dir)))
 
 
 def term_frequency(spark, sf_dir):
@@ -147,7 +148,7 @@ def tf_idf_by_union(spark, sf_dir):
 
 
 def score_against_snapshot(spark, sf_dir):
-    scores = _corpus(spark, sf_dir).score_snapshot(_pages(spark, sf_dir))
+    scores = _corpus(spark, sf_dir).score(_pages(spark, sf_dir))
     return _rounded(scores.select("doc_id", "term", "tf_idf"), "tf_idf")
 
 
@@ -156,7 +157,7 @@ def normalized_tags(spark, sf_dir):
 
 
 def raw_word_frequency(spark, sf_dir):
-    return counting.count_raw_words(_documents(spark, sf_dir))
+    return _corpus(spark, sf_dir).raw_freq
 
 
 def raw_word_top300(spark, sf_dir):

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text
 from termloom.functions.text import lines, raw_words, tokens
-from termloom.operators.partitioning import spread
 
 
 def _runs_in_row(documents: DataFrame, key: str, words: Column) -> tuple[DataFrame, Column]:
@@ -21,8 +20,7 @@ def _runs_in_row(documents: DataFrame, key: str, words: Column) -> tuple[DataFra
 
     The column is meant to be exploded as it is, for the reason given at `tokens`.
     """
-    texts = spread(documents.select(key, "text"))
-    ordered = texts.select(key, F.sort_array(words).alias("words"))
+    ordered = documents.select(key, F.sort_array(words).alias("words"))
     starts = F.transform(
         "words",
         lambda word, i: F.when((i == 0) | (F.get("words", i - 1) != word), i),
@@ -45,8 +43,7 @@ def has_repeated_ids(documents: DataFrame, key: str = "doc_id") -> bool:
 
 def tokenize(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(document, term), one row per token."""
-    texts = spread(documents.select(key, "text"))
-    return texts.select(key, F.explode(tokens("text")).alias("term"))
+    return documents.select(key, F.explode(tokens("text")).alias("term"))
 
 
 def document_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -56,8 +53,7 @@ def document_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def line_count(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """(document, n_lines)."""
-    texts = spread(documents.select(key, "text"))
-    return texts.select(key, text.line_count(F.col("text")).cast("bigint").alias("n_lines"))
+    return documents.select(key, text.line_count(F.col("text")).cast("bigint").alias("n_lines"))
 
 
 def term_frequency(documents: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -75,13 +71,6 @@ def term_frequency_of_parts(parts: DataFrame, key: str = "doc_id") -> DataFrame:
     return term_frequency(parts, key).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
-def count_terms(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`term_frequency`, or the grouped form if some document has several rows."""
-    if has_repeated_ids(documents, key):
-        return term_frequency_of_parts(documents, key)
-    return term_frequency(documents, key)
-
-
 def corpus_term_frequency(term_freq: DataFrame) -> DataFrame:
     """(term, tf) over all documents."""
     return term_freq.groupBy("term").agg(F.sum("tf").alias("tf"))
@@ -120,9 +109,6 @@ def raw_word_top(documents: DataFrame, k: int, key: str = "doc_id") -> DataFrame
     )
 
 
-def count_raw_words(documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """`raw_word_frequency`, summed if some document has several rows."""
-    counted = raw_word_frequency(documents, key)
-    if has_repeated_ids(documents, key):
-        return counted.groupBy(key, "term").agg(F.sum("freq").alias("freq"))
-    return counted
+def raw_word_frequency_of_parts(parts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(document, term, freq) of raw words where a document may have many rows."""
+    return raw_word_frequency(parts, key).groupBy(key, "term").agg(F.sum("freq").alias("freq"))

@@ -24,6 +24,8 @@ def spread(documents: DataFrame) -> DataFrame:
 
     Tokenizing costs far more than reading, so a small table in one file must
     not be one task. A large table has splits enough and is left in place.
+    Meant for a table as it is read: asking a computed one for its partitions
+    would run the shuffles before it.
     """
     return divide(documents) if has_few_splits(documents) else documents
 

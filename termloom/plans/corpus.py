@@ -8,23 +8,52 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators import counting, ranking, replacing, weighting
+from termloom.operators.partitioning import spread
 from termloom.session import materialize
+from termloom.sources.documents import read_documents
 
 
 class Corpus:
-    """A table (doc_id, text) and what derives from it."""
+    """A table (doc_id, text) and what derives from it.
 
-    def __init__(self, documents: DataFrame):
+    `texts` may hold the same rows divided otherwise, for the work on texts;
+    questions about ids alone go to `documents`.
+    """
+
+    def __init__(self, documents: DataFrame, texts: DataFrame | None = None):
         self.documents = documents
+        self.texts = documents if texts is None else texts
+
+    @classmethod
+    def read(
+        cls, spark: SparkSession, path: str, key: str = "doc_id", text: str = "text"
+    ) -> Corpus:
+        """The corpus of a Parquet table."""
+        table = read_documents(spark, path, key, text)
+        return cls(table, spread(table))
+
+    @cached_property
+    def has_parts(self) -> bool:
+        """Whether some document has several rows, which must be added up."""
+        return counting.has_repeated_ids(self.documents)
 
     @cached_property
     def term_freq(self) -> DataFrame:
         """(doc_id, term, tf), computed by whoever reads it."""
-        return counting.count_terms(self.documents)
+        if self.has_parts:
+            return counting.term_frequency_of_parts(self.texts)
+        return counting.term_frequency(self.texts)
+
+    @cached_property
+    def raw_freq(self) -> DataFrame:
+        """(doc_id, term, freq) of raw words."""
+        if self.has_parts:
+            return counting.raw_word_frequency_of_parts(self.texts)
+        return counting.raw_word_frequency(self.texts)
 
     @cached_property
     def term_freq_table(self) -> DataFrame:
@@ -85,9 +114,9 @@ class Corpus:
 
     def raw_tags(self) -> DataFrame:
         """Most frequent raw words of every document."""
-        if counting.has_repeated_ids(self.documents):
-            return ranking.top_raw_words(counting.count_raw_words(self.documents))
-        return counting.raw_word_top(self.documents, ranking.RANKING_SIZE)
+        if self.has_parts:
+            return ranking.top_raw_words(self.raw_freq)
+        return counting.raw_word_top(self.texts, ranking.RANKING_SIZE)
 
     def catalog(self) -> DataFrame:
         """Which documents have raw tags and which have normalized ones.
@@ -95,11 +124,8 @@ class Corpus:
         A ranking keeps at least one row of a document that has any, so the
         documents of the unranked frequencies are those of the rankings.
         """
-        return replacing.result_catalog(
-            counting.count_raw_words(self.documents), self.term_freq
-        )
+        return replacing.result_catalog(self.raw_freq, self.term_freq)
 
-    def score_snapshot(self, new_documents: DataFrame) -> DataFrame:
+    def score(self, new: Corpus) -> DataFrame:
         """TF-IDF of documents outside the corpus by its IDF; unknown terms score 0."""
-        new_freq = materialize(counting.count_terms(new_documents), "new_term_freq")
-        return weighting.tf_idf(new_freq, self.idf_table)
+        return weighting.tf_idf(new.term_freq_table, self.idf_table)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators.counting import has_repeated_ids, raw_word_top, term_frequency
+from termloom.operators.partitioning import spread
 from termloom.operators.ranking import RANKING_SIZE, ordered_by_score
 from termloom.operators.replacing import newest, without_superseded
 
@@ -101,7 +102,9 @@ class CorpusTables:
         if has_repeated_ids(documents):
             documents = newest(documents, "doc_id", *order)
         write_batch(documents.select("doc_id", "text"), self.documents_path, batch_id)
-        stored = self._all_documents().where(F.col("batch_id") == batch_id)
+        stored = spread(
+            self._all_documents().where(F.col("batch_id") == batch_id).select("doc_id", "text")
+        )
         write_batch(term_frequency(stored), self.term_freq_path, batch_id)
         write_batch(raw_word_top(stored, RANKING_SIZE), self.raw_tags_path, batch_id)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import tokens
-from termloom.operators.counting import count_terms, has_repeated_ids
+from termloom.operators.counting import has_repeated_ids, term_frequency
 from termloom.operators.replacing import newest, without_superseded
 from termloom.operators.weighting import tf_idf
 from termloom.session import materialize
@@ -70,7 +70,7 @@ def score_documents(stream: DataFrame, idf_table: DataFrame, path: str, checkpoi
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         if has_repeated_ids(batch):
             batch = newest(batch, "doc_id", "arrived")
-        term_freq = materialize(count_terms(batch), "batch_term_freq")
+        term_freq = materialize(term_frequency(batch), "batch_term_freq")
         write_batch(batch.select("doc_id"), f"{path}/documents", batch_id)
         write_batch(tf_idf(term_freq, idf_table), f"{path}/scores", batch_id)
 

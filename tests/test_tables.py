@@ -89,7 +89,7 @@ def test_text_folder(spark, documents):
     path = scratch_path(spark, "test_texts")
     table = spark.createDataFrame([("apple apple\npear",), ("plum",)], "value string")
     table.repartition(1).write.text(path)
-    found = counting.count_terms(read_text_folder(spark, f"{path}/*.txt"))
+    found = Corpus(read_text_folder(spark, f"{path}/*.txt")).term_freq
     assert rows(found, "term", "tf") == [("apple", 2), ("pear", 1), ("plum", 1)]
     assert not found.where(F.col("doc_id").contains(".txt")).count()
     assert found.select("doc_id").distinct().count() == 1

@@ -68,7 +68,7 @@ def test_repeated_run(documents):
 
 
 def test_stale_idf(documents):
-    scores = Corpus(documents(TWO)).score_snapshot(documents({3: "apple kiwi"}))
+    scores = Corpus(documents(TWO)).score(Corpus(documents({3: "apple kiwi"})))
     assert rows(scores, "doc_id", "term", "tf_idf") == approx([(3, "apple", LN2), (3, "kiwi", 0.0)])
 
 
@@ -124,7 +124,7 @@ def test_documents_of_many_rows(spark):
     parts = spark.createDataFrame(lines, "doc_id bigint, text string")
     expected = [(1, "apple", 3), (1, "pear", 1), (2, "pear", 1), (2, "plum", 1)]
     assert counting.has_repeated_ids(parts)
-    assert rows(counting.count_terms(parts), "doc_id", "term", "tf") == expected
+    assert rows(Corpus(parts).term_freq, "doc_id", "term", "tf") == expected
     assert rows(Corpus(parts).size, "n") == [(2,)]
 
 
@@ -172,7 +172,7 @@ def test_one_document_of_the_corpus(documents):
 
 def test_raw_rankings_agree(spark, documents):
     corpus = Corpus(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
-    by_window = ranking.top_raw_words(counting.count_raw_words(corpus.documents))
+    by_window = ranking.top_raw_words(corpus.raw_freq)
     assert by_window.exceptAll(corpus.raw_tags()).isEmpty()
     assert by_window.count() == corpus.raw_tags().count()
     lines = counting.document_lines(corpus.documents).select("doc_id", F.col("line").alias("text"))
