@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.weights import inverse_document_frequency, score
@@ -33,18 +33,24 @@ def split_frequent(
 ) -> tuple[DataFrame, DataFrame]:
     """Split an IDF table into frequent terms, within `budget` bytes, and the rest.
 
-    A term is frequent if df > sum(df * bytes) / budget. The frequent terms
-    together then take at most `budget` bytes, whatever the corpus, and a
-    remaining term has at most bytes / budget of all TF bytes, so the rest can
-    be shuffled by term without a hot key. The threshold is a whole number, so
-    every use of it cuts alike.
+    Terms are classed by the number of bits of their df. As many of the upper
+    classes are frequent as fit the budget together, by their true sizes. If a
+    class no longer fits, the terms from it upward exceed the budget and have
+    at least half its greatest df each, so a remaining term has at most
+    2 * bytes / budget of all TF bytes: the rest can be shuffled by term
+    without a hot key.
     """
-    row_bytes = f"df * (octet_length(term) + {ROW_BYTES})"
-    threshold = idf_table.agg(F.expr(f"sum({row_bytes}) div {budget}")).scalar()
-    return (
-        idf_table.where(F.col("df") > threshold),
-        idf_table.where(F.col("df") <= threshold),
+    bits = F.length(F.bin("df"))
+    classes = idf_table.groupBy(bits.alias("bits")).agg(
+        F.sum(F.octet_length("term") + ROW_BYTES).alias("bytes")
+    )
+    # At most 63 rows are left, so one task may add them up.
+    upward = Window.orderBy(F.col("bits").desc())
+    fitting = classes.withColumn("total", F.sum("bytes").over(upward)).where(
+        F.col("total") <= budget
     )
+    lowest = fitting.agg(F.coalesce(F.min("bits"), F.lit(64))).scalar()
+    return idf_table.where(bits >= lowest), idf_table.where(bits < lowest)
 
 
 def tf_idf(
