@@ -16,13 +16,15 @@ from termloom.operators import counting, ranking, replacing, weighting
 from termloom.operators.partitioning import spread
 from termloom.plans.corpus import Corpus
 from termloom.session import scratch_path
-from termloom.sources.documents import read_documents, stream_documents
+from termloom.sources.documents import read_documents, read_text_folder, stream_documents
 from termloom.sources.tables import (
     CorpusTables,
     read_batches,
     read_delimited,
+    write_all_tf_idf,
     write_batch,
     write_delimited,
+    write_ranked,
 )
 from termloom.streaming import ingest
 
@@ -209,6 +211,25 @@ def tsv_roundtrip(spark, sf_dir):
     return _rounded(read_delimited(spark, path, "term", "idf"), "idf")
 
 
+def single_tf_idf_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "single_tf_idf_tsv")
+    write_ranked(weighting.single_tf_idf(_log(spark, sf_dir), _corpus(spark, sf_dir).idf()), path)
+    return _rounded(read_delimited(spark, path, "term", "tf_idf", number_first=True), "tf_idf")
+
+
+def tf_idf_table_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "all_tf_idf")
+    write_all_tf_idf(_corpus(spark, sf_dir).scores, path)
+    return _rounded(spark.read.parquet(path).select("doc_id", "term", "tf_idf"), "tf_idf")
+
+
+def corpus_term_frequency_of_text_files(spark, sf_dir):
+    path = scratch_path(spark, "text_files")
+    spread(_documents(spark, sf_dir)).select("text").write.text(path)
+    lines = read_text_folder(spark, path)
+    return counting.corpus_term_frequency(counting.term_frequency(lines))
+
+
 def result_catalog(spark, sf_dir):
     return _corpus(spark, sf_dir).catalog()
 
@@ -278,6 +299,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             incremental_raw_tags,
             term_freq_table_roundtrip,
             tsv_roundtrip,
+            single_tf_idf_roundtrip,
+            tf_idf_table_roundtrip,
+            corpus_term_frequency_of_text_files,
             result_catalog,
             stream_term_frequency,
             stream_corpus_term_frequency,
@@ -388,7 +412,7 @@ def oracle_sql() -> dict[str, str]:
     corpus_tf_rows = terms + "\nSELECT term, count(*) AS tf FROM terms GROUP BY term"
     idf_rows = idf_ + "\nSELECT term, df, round(idf, 6) AS idf FROM idf"
     # The grid of the next two is written out here, as the long way round.
-    grid = weighted + (
+    grid = scores + (
         ",\ngrid AS (SELECT d.doc_id, idf.term, coalesce(s.tf_idf, 0.0) AS tf_idf"
         " FROM (SELECT DISTINCT doc_id FROM documents) d CROSS JOIN idf"
         " LEFT JOIN s ON s.doc_id = d.doc_id AND s.term = idf.term)"
@@ -420,9 +444,11 @@ SELECT doc_id, CASE WHEN text = '' THEN 0
         + "\nSELECT doc_id, count(*) AS cells, count(*) FILTER (tf_idf = 0) AS zero_cells,"
         " round(sum(tf_idf), 4) AS tf_idf_sum FROM grid GROUP BY doc_id",
         "dense_top300": grid
-        + "\nSELECT doc_id, term, floor(round(tf_idf, 6))::INT AS weight, row_number() OVER"
-        " (PARTITION BY doc_id ORDER BY floor(round(tf_idf, 6)) DESC, term)::INT AS rank"
-        " FROM grid QUALIFY rank <= 300",
+        + """,
+best AS (SELECT doc_id, min({'w': -floor(round(tf_idf, 6))::INT, 't': term}, 300) AS tags
+  FROM grid GROUP BY doc_id)
+SELECT doc_id, unnest(tags).t AS term, -unnest(tags).w AS weight,
+  unnest(range(1, len(tags) + 1))::INT AS rank FROM best""",
         "global_tf_idf": corpus + "\nSELECT term, tf_idf FROM c",
         "global_tf_idf_top300": corpus + "\n" + corpus_top,
         "single_tf_idf": single + "\nSELECT term, tf_idf FROM c",
@@ -448,6 +474,10 @@ both_scopes AS (SELECT 'document' AS scope, doc_id, term, floor(tf_idf)::INT AS
         "incremental_raw_tags": _raw_cte(f"({delivered})") + "\nSELECT * FROM rawtags",
         "term_freq_table_roundtrip": tf_rows,
         "tsv_roundtrip": idf_ + "\nSELECT term, round(idf, 6) AS idf FROM idf",
+        "single_tf_idf_roundtrip": single + "\nSELECT term, tf_idf FROM c",
+        "tf_idf_table_roundtrip": scores
+        + "\nSELECT doc_id, term, round(tf_idf, 6) AS tf_idf FROM s",
+        "corpus_term_frequency_of_text_files": corpus_tf_rows,
         "result_catalog": tags
         + ","
         + raw.removeprefix("WITH")

@@ -36,7 +36,8 @@ def top_per_document(
     """The first `k` rows of each document, descending by `order`, then by term.
 
     The limit stands right on the rank, so each task cuts its own share to k
-    rows per document before the shuffle.
+    rows per document before the shuffle. Spark does so while k is not above
+    `spark.sql.optimizer.windowGroupLimitThreshold`, 1000 unless set.
     """
     ranking = Window.partitionBy(key).orderBy(order.desc(), "term")
     return rows.withColumn("rank", F.row_number().over(ranking)).where(F.col("rank") <= k)

@@ -83,7 +83,8 @@ class CorpusTables:
     A delivery writes its own batch of each table and touches no other, so
     adding a document costs that document. The newest delivery of a document
     counts, decided on the document table: a text without any token leaves no
-    TF row, yet replaces the earlier text.
+    TF row, yet replaces the earlier text. Batch numbers belong to one writer:
+    a stream counts its own from 0, so it needs tables of its own.
     """
 
     def __init__(self, spark: SparkSession, root: str):

