@@ -28,6 +28,12 @@ from termloom.sources.tables import (
 )
 from termloom.streaming import ingest
 
+try:  # absent where the library is used without its text preparation
+    import corpus_pipeline
+    from termloom.llm import queries as llm
+except ImportError:
+    llm = None
+
 # ---------------------------------------------------------------- inputs
 
 
@@ -264,6 +270,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    added = llm.queries() | {"pipeline": corpus_pipeline.run} if llm else {}
+    return core_queries() | added
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
         for query in (
@@ -354,6 +365,10 @@ FROM (SELECT *, sqrt(min({weight}) OVER (PARTITION BY doc_id)) AS lo,
 
 
 def oracle_sql() -> dict[str, str]:
+    return core_oracle_sql() | (llm.oracle_sql() if llm else {})
+
+
+def core_oracle_sql() -> dict[str, str]:
     documents = "SELECT doc_id, text FROM documents"
     terms = "WITH" + _term_cte("terms", documents)
     tf = terms + ",\ntf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL)"

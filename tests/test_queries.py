@@ -4,8 +4,8 @@ from conftest import SF_DIR
 
 import __spark_entry__ as registered
 
-QUERIES = registered.queries()
-SQL = registered.oracle_sql()
+QUERIES = registered.core_queries()
+SQL = registered.core_oracle_sql()
 TABLES = ("documents", "pages", "conversations", "benchmark")
 
 
