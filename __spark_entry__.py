@@ -34,6 +34,9 @@ try:  # absent where the library is used without its text preparation
 except ImportError:
     llm = None
 
+# The tables come in few files: tasks for the texts of a micro-batch.
+STREAM_TASKS = 16
+
 # ---------------------------------------------------------------- inputs
 
 
@@ -103,6 +106,13 @@ def tf_idf_sparse(spark, sf_dir):
     return _rounded(_corpus(spark, sf_dir).scores, "idf", "tf_idf")
 
 
+def tf_idf_small_budget(spark, sf_dir):
+    """With most terms too rare to be broadcast."""
+    corpus = _corpus(spark, sf_dir)
+    scores = weighting.tf_idf(corpus.term_freq_table, corpus.idf_table, budget=20_000)
+    return _rounded(scores, "idf", "tf_idf")
+
+
 def tf_idf_top300(spark, sf_dir):
     tags = _corpus(spark, sf_dir).tags()
     return _rounded(tags.select("doc_id", "term", "tf_idf", "rank"), "tf_idf")
@@ -203,6 +213,41 @@ def incremental_raw_tags(spark, sf_dir):
     return _two_deliveries(spark, sf_dir).raw_tags()
 
 
+def _resent_batch(spark: SparkSession, sf_dir: str) -> CorpusTables:
+    """All documents; all pages; the pages again with nothing but their digits."""
+    tables = CorpusTables(spark, scratch_path(spark, "resent"))
+    tables.deliver(_documents(spark, sf_dir), 0)
+    pages = read_documents(spark, f"{sf_dir}/pages.parquet", "page_id", "html")
+    tables.deliver(pages, 1)
+    digits = F.regexp_replace("text", "[^0-9]+", " ")
+    tables.deliver(pages.withColumn("text", digits), 1)
+    return tables
+
+
+def resent_batch_term_frequency(spark, sf_dir):
+    return _resent_batch(spark, sf_dir).term_frequency()
+
+
+def resent_batch_raw_tags(spark, sf_dir):
+    return _resent_batch(spark, sf_dir).raw_tags()
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> CorpusTables:
+    """Two deliveries, and the results of the corpus they leave."""
+    tables = _two_deliveries(spark, sf_dir)
+    corpus = Corpus.stored(tables)
+    tables.store_results(corpus.idf_table, corpus.normalized_tags())
+    return tables
+
+
+def stored_idf(spark, sf_dir):
+    return _rounded(_stored(spark, sf_dir).idf(), "idf")
+
+
+def stored_normalized_tags(spark, sf_dir):
+    return _rounded(_stored(spark, sf_dir).tags(), "font_size")
+
+
 def term_freq_table_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "term_freq_roundtrip")
     term_freq = _corpus(spark, sf_dir).term_freq
@@ -236,8 +281,24 @@ def corpus_term_frequency_of_text_files(spark, sf_dir):
     return counting.corpus_term_frequency(counting.term_frequency(lines))
 
 
+def text_folder_term_frequency(spark, sf_dir):
+    """A folder of text files for each source, and the number of folders."""
+    path = scratch_path(spark, "text_folders")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text")
+    spread(table).write.partitionBy("source").text(path)
+    corpus = Corpus.read_text_folder(spark, path, by_folder=True)
+    n = corpus.size.select("n").scalar()
+    return corpus.term_freq.select(
+        F.regexp_replace("doc_id", "^source=", "").alias("source"), "term", "tf", n.alias("n")
+    )
+
+
 def result_catalog(spark, sf_dir):
-    return _corpus(spark, sf_dir).catalog()
+    tables = CorpusTables(spark, scratch_path(spark, "catalog"))
+    tables.deliver(_documents(spark, sf_dir), 0)
+    corpus = Corpus.stored(tables)
+    tables.store_results(corpus.idf_table, corpus.normalized_tags())
+    return tables.catalog()
 
 
 def stream_term_frequency(spark, sf_dir):
@@ -250,14 +311,15 @@ def stream_term_frequency(spark, sf_dir):
 
 def stream_corpus_term_frequency(spark, sf_dir):
     root = scratch_path(spark, "stream_corpus_term_frequency")
-    stream = stream_documents(spark, f"{sf_dir}/documents*.parquet")
+    stream = stream_documents(spark, f"{sf_dir}/documents*.parquet", tasks=STREAM_TASKS)
     ingest.count_corpus_terms(stream, f"{root}/totals", f"{root}/checkpoint")
     return ingest.read_corpus_terms(spark, f"{root}/totals")
 
 
 def stream_score_against_snapshot(spark, sf_dir):
     root = scratch_path(spark, "stream_scores")
-    stream = stream_documents(spark, f"{sf_dir}/pages*.parquet", "page_id", "html")
+    pages = f"{sf_dir}/pages*.parquet"
+    stream = stream_documents(spark, pages, "page_id", "html", tasks=STREAM_TASKS)
     idf_table = _corpus(spark, sf_dir).idf_table
     ingest.score_documents(stream, idf_table, f"{root}/scored", f"{root}/checkpoint")
     scores = ingest.read_scores(spark, f"{root}/scored")
@@ -288,6 +350,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             idf,
             idf_with_corpus_document,
             tf_idf_sparse,
+            tf_idf_small_budget,
             tf_idf_top300,
             tags_truncated_weight,
             tag_font_size,
@@ -308,11 +371,16 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             document_upsert,
             incremental_term_frequency,
             incremental_raw_tags,
+            resent_batch_term_frequency,
+            resent_batch_raw_tags,
+            stored_idf,
+            stored_normalized_tags,
             term_freq_table_roundtrip,
             tsv_roundtrip,
             single_tf_idf_roundtrip,
             tf_idf_table_roundtrip,
             corpus_term_frequency_of_text_files,
+            text_folder_term_frequency,
             result_catalog,
             stream_term_frequency,
             stream_corpus_term_frequency,
@@ -422,9 +490,28 @@ def core_oracle_sql() -> dict[str, str]:
         f"SELECT conv_id AS doc_id, text FROM ({newest}) UNION ALL SELECT doc_id, text"
         " FROM documents WHERE doc_id NOT IN (SELECT conv_id FROM conversations)"
     )
+    pages_resent = (
+        "SELECT page_id AS doc_id, regexp_replace(html, '[^0-9]+', ' ', 'g') AS text FROM pages"
+        " UNION ALL SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT page_id FROM pages)"
+    )
+    stored = (
+        "WITH delivered AS ("
+        + delivered
+        + "),"
+        + _term_cte("terms", "SELECT * FROM delivered")
+        + ",\ntf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL)"
+        ",\nn AS (SELECT count(DISTINCT doc_id) AS n FROM delivered)"
+        ",\nidf AS (SELECT term, count(*) AS df, ln(n::DOUBLE / count(*)) AS idf"
+        " FROM tf, n GROUP BY term, n)"
+    )
     raw = _raw_cte("documents")
     tf_rows = tf + "\nSELECT * FROM tf"
     corpus_tf_rows = terms + "\nSELECT term, count(*) AS tf FROM terms GROUP BY term"
+    normalized = f""",
+c AS (SELECT term, round(sum(tf) * any_value(idf), 6) AS tf_idf FROM s GROUP BY term),
+both_scopes AS (SELECT 'document' AS scope, doc_id, term, floor(tf_idf)::INT AS weight, rank
+  FROM tags UNION ALL SELECT 'corpus', -1, term, floor(tf_idf)::INT, rank FROM ({corpus_top}))
+""" + _font_size("weight", "both_scopes")
     idf_rows = idf_ + "\nSELECT term, df, round(idf, 6) AS idf FROM idf"
     # The grid of the next two is written out here, as the long way round.
     grid = scores + (
@@ -448,6 +535,8 @@ SELECT doc_id, CASE WHEN text = '' THEN 0
         "idf_with_corpus_document": idf_
         + "\nSELECT term, df + 1 AS df, round(ln((n + 1)::DOUBLE / (df + 1)), 6) AS idf"
         " FROM idf, n",
+        "tf_idf_small_budget": scores
+        + "\nSELECT doc_id, term, tf, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf FROM s",
         "tf_idf_sparse": scores
         + "\nSELECT doc_id, term, tf, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf FROM s",
         "tf_idf_top300": tags + "\nSELECT * FROM tags",
@@ -470,13 +559,17 @@ SELECT doc_id, unnest(tags).t AS term, -unnest(tags).w AS weight,
         "single_tf_idf_top300": single + "\n" + corpus_top,
         "tf_idf_by_union": single + "\nSELECT term, tf_idf FROM c",
         "score_against_snapshot": snapshot,
-        "normalized_tags": tags
-        + f""",
-c AS (SELECT term, round(sum(tf) * any_value(idf), 6) AS tf_idf FROM s GROUP BY term),
-both_scopes AS (SELECT 'document' AS scope, doc_id, term, floor(tf_idf)::INT AS weight, rank
-  FROM tags UNION ALL SELECT 'corpus', -1, term, floor(tf_idf)::INT, rank FROM ({corpus_top}))
-"""
-        + _font_size("weight", "both_scopes"),
+        "normalized_tags": tags + normalized,
+        "stored_idf": stored + "\nSELECT term, df, round(idf, 6) AS idf FROM idf",
+        "stored_normalized_tags": stored + tags.removeprefix(idf_) + normalized,
+        "resent_batch_term_frequency": "WITH"
+        + _term_cte("terms", pages_resent)
+        + "\nSELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL",
+        "resent_batch_raw_tags": _raw_cte(f"({pages_resent})") + "\nSELECT * FROM rawtags",
+        "text_folder_term_frequency": "WITH"
+        + _term_cte("terms", "SELECT source AS doc_id, text FROM documents")
+        + "\nSELECT doc_id AS source, term, count(*) AS tf,"
+        " (SELECT count(DISTINCT source) FROM documents) AS n FROM terms GROUP BY ALL",
         "raw_word_frequency": raw + "\nSELECT * FROM raw",
         "raw_word_top300": raw + "\nSELECT * FROM rawtags",
         "raw_tag_font_size": raw + "\n" + _font_size("freq", "rawtags"),

@@ -36,9 +36,16 @@ def _runs_in_row(documents: DataFrame, key: str, words: Column) -> tuple[DataFra
     return rows, F.transform("starts", run)
 
 
+def id_totals(documents: DataFrame, key: str = "doc_id") -> tuple[int, int]:
+    """(rows with an id, different ids), in one pass over the ids."""
+    rows, ids = documents.agg(F.count(key), F.count_distinct(key)).first()
+    return rows, ids
+
+
 def has_repeated_ids(documents: DataFrame, key: str = "doc_id") -> bool:
     """Whether some document has several rows. Reads and shuffles ids only."""
-    return documents.agg(F.count_distinct(key) < F.count(key)).first()[0]
+    rows, ids = id_totals(documents, key)
+    return ids < rows
 
 
 def tokenize(documents: DataFrame, key: str = "doc_id") -> DataFrame:

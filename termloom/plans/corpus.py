@@ -11,20 +11,25 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.operators import counting, ranking, replacing, weighting
+from termloom.operators import counting, ranking, weighting
 from termloom.operators.partitioning import spread
 from termloom.session import materialize
-from termloom.sources.documents import read_documents
+from termloom.sources.documents import list_text_documents, read_documents, read_text_folder
+from termloom.sources.tables import CorpusTables
 
 
 class Corpus:
     """A table (doc_id, text) and what derives from it.
 
     `texts` may hold the same rows divided otherwise, for the work on texts;
-    questions about ids alone go to `documents`.
+    questions about ids alone go to `documents`. With `in_parts` a document may
+    have several rows in `texts`; without it the ids of `documents` tell.
     """
 
-    def __init__(self, documents: DataFrame, texts: DataFrame | None = None):
+    def __init__(
+        self, documents: DataFrame, texts: DataFrame | None = None, in_parts: bool = False
+    ):
+        self.in_parts = in_parts
         self.documents = documents
         self.texts = documents if texts is None else texts
 
@@ -36,10 +41,31 @@ class Corpus:
         table = read_documents(spark, path, key, text)
         return cls(table, spread(table))
 
+    @classmethod
+    def read_text_folder(cls, spark: SparkSession, path: str, by_folder: bool = False) -> Corpus:
+        """The corpus of a folder of text files. An empty file is a document too."""
+        names = list_text_documents(spark, path, by_folder)
+        return cls(names, read_text_folder(spark, path, by_folder), in_parts=True)
+
+    @classmethod
+    def stored(cls, tables: CorpusTables) -> Corpus:
+        """The corpus of delivered documents, by their stored term frequencies.
+
+        Nothing is tokenized again.
+        """
+        corpus = cls(tables.ids(), tables.documents())
+        corpus.term_freq = corpus.term_freq_table = tables.term_frequency()
+        return corpus
+
     @cached_property
+    def totals(self) -> tuple[int, int]:
+        """(rows, documents), from the ids alone."""
+        return counting.id_totals(self.documents)
+
+    @property
     def has_parts(self) -> bool:
         """Whether some document has several rows, which must be added up."""
-        return counting.has_repeated_ids(self.documents)
+        return self.in_parts or self.totals[1] < self.totals[0]
 
     @cached_property
     def term_freq(self) -> DataFrame:
@@ -62,7 +88,9 @@ class Corpus:
 
     @cached_property
     def size(self) -> DataFrame:
-        return counting.corpus_size(self.documents)
+        """One row `n`."""
+        spark = self.documents.sparkSession
+        return spark.range(1).select(F.lit(self.totals[1]).cast("bigint").alias("n"))
 
     def idf(self, include_corpus_document: bool = False) -> DataFrame:
         """(term, df, idf) in one pass over the texts."""
@@ -72,9 +100,13 @@ class Corpus:
 
     @cached_property
     def idf_table(self) -> DataFrame:
-        """`idf`, written once, from the written term frequencies."""
-        frequencies = counting.document_frequency(self.term_freq_table)
-        return materialize(weighting.idf(frequencies, self.size), "idf")
+        """`idf`, from the written table of terms."""
+        return self.term_table.select("term", "df", "idf")
+
+    @cached_property
+    def term_table(self) -> DataFrame:
+        """(term, tf, df, idf, tf_idf) of the corpus, written once, in one grouping by term."""
+        return materialize(weighting.corpus_tf_idf(self.term_freq_table, self.size), "terms")
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -99,8 +131,7 @@ class Corpus:
 
     def normalized_tags(self) -> DataFrame:
         """The full recompute: top terms of every document and of the corpus."""
-        corpus = weighting.corpus_tf_idf(self.term_freq_table, self.size)
-        return ranking.normalized_tags(self.tags(), ranking.top_terms(corpus))
+        return ranking.normalized_tags(self.tags(), ranking.top_terms(self.term_table))
 
     def document_scores(self, doc_id: int) -> DataFrame:
         """(term, tf_idf) of one document over the whole vocabulary, highest first."""
@@ -118,14 +149,7 @@ class Corpus:
             return ranking.top_raw_words(self.raw_freq)
         return counting.raw_word_top(self.texts, ranking.RANKING_SIZE)
 
-    def catalog(self) -> DataFrame:
-        """Which documents have raw tags and which have normalized ones.
-
-        A ranking keeps at least one row of a document that has any, so the
-        documents of the unranked frequencies are those of the rankings.
-        """
-        return replacing.result_catalog(self.raw_freq, self.term_freq)
-
     def score(self, new: Corpus) -> DataFrame:
         """TF-IDF of documents outside the corpus by its IDF; unknown terms score 0."""
-        return weighting.tf_idf(new.term_freq_table, self.idf_table)
+        known = weighting.idf_of_terms(new.term_freq_table, self.idf_table)
+        return weighting.tf_idf(new.term_freq_table, materialize(known, "known_terms"))

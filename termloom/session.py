@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +33,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     It lies under `spark.checkpoint.dir`. Only a local session without that
     setting gets a temporary folder of its own; on a cluster a machine-local
-    folder would lose data, so there the setting is required.
+    folder would lose data, so there the setting is required, and a path of the
+    local file system, which only a shared mount makes safe, brings a warning.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    on_cluster = not context.master.startswith("local")
     if not base:
-        if not context.master.startswith("local"):
+        if on_cluster:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_scratch.setdefault(
-            context.applicationId, tempfile.mkdtemp(prefix="termloom-")
-        )
+        if context.applicationId not in _local_scratch:
+            _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="termloom-")
+        base = _local_scratch[context.applicationId]
+    elif on_cluster and base.startswith(("/", "file:")):
+        warnings.warn(f"{base} must be a mount that all executors share", stacklevel=2)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import without_extension
-from termloom.operators.partitioning import divide, has_few_splits
+from termloom.operators.partitioning import divide
 
 
 def read_documents(
@@ -17,32 +17,54 @@ def read_documents(
     return table.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
 
-def read_text_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): one row per line, named by its file without extension.
+def _document_name(path: Column, by_folder: bool) -> Column:
+    """The name of a file without its extension, or that of its folder."""
+    parts = F.split(path, "/")
+    return F.element_at(parts, -2) if by_folder else without_extension(F.element_at(parts, -1))
+
+
+def read_text_folder(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """(doc_id, text): one row per line, named by its file, or by its folder.
 
     The files are splittable line records, so a large file is read by many
-    tasks. A document has many rows: count it with `term_frequency_of_parts`.
+    tasks. A document has many rows, and an empty file has none: how many
+    documents there are says `list_text_documents`.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.text(path, recursiveFileLookup=by_folder)
     return lines.select(
-        without_extension(F.col("_metadata.file_name")).alias("doc_id"),
+        _document_name(F.col("_metadata.file_path"), by_folder).alias("doc_id"),
         F.col("value").alias("text"),
     )
 
 
+def list_text_documents(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """(doc_id) of the text files under `path`, empty ones too.
+
+    The names come from the list of files that Spark plans a read with, since a
+    read itself passes over empty files.
+    """
+    files = spark.read.text(path, recursiveFileLookup=by_folder).inputFiles()
+    table = spark.createDataFrame([(name,) for name in files], "path string")
+    return table.select(_document_name(F.col("path"), by_folder).alias("doc_id")).distinct()
+
+
 def stream_documents(
     spark: SparkSession,
     path: str,
     key: str = "doc_id",
     text: str = "text",
     files_per_batch: int | None = None,
+    schema: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(doc_id, text, arrived) of Parquet files as they appear under `path`.
 
-    `path` may be a folder or a pattern. The schema is that of the files there.
+    `path` may be a folder or a pattern. The schema is that of the files there;
+    with a `schema` the folder may be empty at first. `tasks` divides the texts
+    of every micro-batch over so many tasks, for small files; without it they
+    stay as their files are split.
     """
-    present = spark.read.parquet(path)
-    reader = spark.readStream.schema(present.schema)
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     arriving = reader.parquet(path).select(
@@ -50,4 +72,4 @@ def stream_documents(
         F.col(text).alias("text"),
         F.col("_metadata.file_modification_time").alias("arrived"),
     )
-    return divide(arriving) if has_few_splits(present) else arriving
+    return divide(arriving, tasks) if tasks else arriving

@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators.counting import has_repeated_ids, raw_word_top, term_frequency
 from termloom.operators.partitioning import spread
 from termloom.operators.ranking import RANKING_SIZE, ordered_by_score
-from termloom.operators.replacing import newest, without_superseded
+from termloom.operators.replacing import newest, result_catalog, without_superseded
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """Write `df` as one batch of a table, replacing that batch only.
 
-    Running it again with the same batch leaves the same table.
+    The batch's own folder is overwritten, so a batch that is sent again without
+    rows leaves none behind.
     """
-    (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
-        .parquet(path)
-    )
+    df.write.mode("overwrite").parquet(batch_path(path, batch_id))
+
+
+def batch_path(path: str, batch_id: int) -> str:
+    return f"{path}/batch_id={batch_id}"
 
 
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -52,8 +51,18 @@ def write_all_tf_idf(scores: DataFrame, path: str, key: str = "doc_id") -> None:
 
 
 def write_delimited(df: DataFrame, path: str) -> None:
-    """The columns of `df` as tab-separated text lines, in its order."""
-    line = F.concat_ws("\t", *[F.col(c).cast("string") for c in df.columns])
+    """The columns of `df` as tab-separated text lines, in its order.
+
+    A null is written as an empty field. A field with a tab or a line break
+    stops the job, since it could not be read back.
+    """
+    broken = F.raise_error(F.lit("a field holds a tab or a line break"))
+
+    def field(name: str) -> Column:
+        text = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        return F.when(text.rlike(r"[\t\r\n]"), broken).otherwise(text)
+
+    line = F.concat_ws("\t", *[field(name) for name in df.columns])
     df.select(line.alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
@@ -78,21 +87,25 @@ def read_delimited(
 
 
 class CorpusTables:
-    """Documents, their term frequencies and raw tags, appended delivery by delivery.
+    """Documents, their term frequencies and tags, delivered batch by batch.
 
     A delivery writes its own batch of each table and touches no other, so
-    adding a document costs that document. The newest delivery of a document
-    counts, decided on the document table: a text without any token leaves no
-    TF row, yet replaces the earlier text. Batch numbers belong to one writer:
-    a stream counts its own from 0, so it needs tables of its own.
+    adding a document costs that document. The list of documents is written
+    last: a batch that is not listed is not read. The newest delivery of a
+    document counts, decided on the list: a text without any token leaves no TF
+    row, yet replaces the earlier text. Batch numbers belong to one writer: a
+    stream counts its own from 0, so it needs tables of its own.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         root = root.rstrip("/")
         self.documents_path = f"{root}/documents"
+        self.texts_path = f"{root}/texts"
         self.term_freq_path = f"{root}/term_freq"
         self.raw_tags_path = f"{root}/raw_tags"
+        self.idf_path = f"{root}/idf"
+        self.tags_path = f"{root}/tags"
 
     def deliver(self, documents: DataFrame, batch_id: int, *order: str) -> None:
         """Store (doc_id, text) as batch `batch_id`.
@@ -102,31 +115,55 @@ class CorpusTables:
         """
         if has_repeated_ids(documents):
             documents = newest(documents, "doc_id", *order)
-        write_batch(documents.select("doc_id", "text"), self.documents_path, batch_id)
-        stored = spread(
-            self._all_documents().where(F.col("batch_id") == batch_id).select("doc_id", "text")
+        write_batch(documents.select("doc_id", "text"), self.texts_path, batch_id)
+        own = self.spark.read.schema("doc_id bigint, text string").parquet(
+            batch_path(self.texts_path, batch_id)
         )
-        write_batch(term_frequency(stored), self.term_freq_path, batch_id)
-        write_batch(raw_word_top(stored, RANKING_SIZE), self.raw_tags_path, batch_id)
+        texts = spread(own)
+        write_batch(term_frequency(texts), self.term_freq_path, batch_id)
+        write_batch(raw_word_top(texts, RANKING_SIZE), self.raw_tags_path, batch_id)
+        write_batch(own.select("doc_id"), self.documents_path, batch_id)
+
+    def store_results(self, idf: DataFrame, tags: DataFrame) -> None:
+        """Store (term, df, idf) and normalized tags, replacing earlier ones."""
+        write_table(idf, self.idf_path)
+        write_table(tags, self.tags_path)
+
+    def ids(self) -> DataFrame:
+        """(doc_id) of all delivered documents."""
+        return self._listed().select("doc_id").distinct()
 
     def documents(self) -> DataFrame:
         """(doc_id, text) of the newest delivery of each document."""
-        return self._current(self._all_documents())
+        return self._current(self.texts_path, "doc_id bigint, text string")
 
     def term_frequency(self) -> DataFrame:
         """(doc_id, term, tf) of the newest delivery of each document."""
-        return self._current(
-            read_batches(self.spark, self.term_freq_path, "doc_id bigint, term string, tf bigint")
-        )
+        return self._current(self.term_freq_path, "doc_id bigint, term string, tf bigint")
 
     def raw_tags(self) -> DataFrame:
         """(doc_id, term, freq, rank) of the newest delivery of each document."""
         schema = "doc_id bigint, term string, freq bigint, rank int"
-        return self._current(read_batches(self.spark, self.raw_tags_path, schema))
+        return self._current(self.raw_tags_path, schema)
+
+    def idf(self) -> DataFrame:
+        """The stored (term, df, idf)."""
+        return self.spark.read.parquet(self.idf_path)
+
+    def tags(self) -> DataFrame:
+        """The stored normalized tags of documents and corpus."""
+        return self.spark.read.parquet(self.tags_path)
+
+    def catalog(self) -> DataFrame:
+        """Which documents have stored raw tags and which have normalized ones."""
+        return result_catalog(self.raw_tags(), self.tags().where(F.col("scope") == "document"))
 
-    def _all_documents(self) -> DataFrame:
-        return read_batches(self.spark, self.documents_path, "doc_id bigint, text string")
+    def _listed(self) -> DataFrame:
+        return read_batches(self.spark, self.documents_path, "doc_id bigint")
 
-    def _current(self, rows: DataFrame) -> DataFrame:
-        versions = self._all_documents().select("doc_id", "batch_id")
-        return without_superseded(rows, versions, "doc_id", "batch_id").drop("batch_id")
+    def _current(self, path: str, schema: str) -> DataFrame:
+        listed = self._listed()
+        rows = read_batches(self.spark, path, schema)
+        # One row per delivery.
+        complete = rows.join(listed.select("batch_id").distinct(), "batch_id", "left_semi")
+        return without_superseded(complete, listed, "doc_id", "batch_id").drop("batch_id")

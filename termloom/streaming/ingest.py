@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from termloom.functions.text import tokens
 from termloom.operators.counting import has_repeated_ids, term_frequency
 from termloom.operators.replacing import newest, without_superseded
-from termloom.operators.weighting import tf_idf
+from termloom.operators.weighting import idf_of_terms, tf_idf
 from termloom.session import materialize
-from termloom.sources.tables import CorpusTables, read_batches, write_batch
+from termloom.sources.tables import CorpusTables, batch_path, read_batches, write_batch
+
+# Number of the batch that holds compacted totals.
+COMPACTED = -1
 
 
 def _drain(
@@ -64,15 +67,42 @@ def read_corpus_terms(spark: SparkSession, path: str) -> DataFrame:
     return changed.groupBy("term").agg(F.max("tf").alias("tf"))
 
 
+def compact_corpus_terms(spark: SparkSession, path: str) -> None:
+    """Gather the totals of all batches so far in one, while no batch is written.
+
+    Totals only grow, so it does no harm if the run is repeated or stops half
+    way, or if the stream replays its last batch.
+    """
+    batches = read_batches(spark, path, "term string, tf bigint").select("batch_id").distinct()
+    # One row per micro-batch since the last compaction.
+    numbers = [row["batch_id"] for row in batches.collect()]
+    totals = materialize(read_corpus_terms(spark, path), "corpus_terms")
+    write_batch(totals, path, COMPACTED)
+    for number in numbers:
+        if number != COMPACTED:
+            write_batch(totals.limit(0), path, number)
+
+
 def score_documents(stream: DataFrame, idf_table: DataFrame, path: str, checkpoint: str) -> None:
-    """Score arrived documents by a fixed IDF table as they come."""
+    """Score arrived documents by a fixed IDF table as they come.
+
+    The term frequencies of a micro-batch are a part of it, under its number.
+    """
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         if has_repeated_ids(batch):
             batch = newest(batch, "doc_id", "arrived")
-        term_freq = materialize(term_frequency(batch), "batch_term_freq")
-        write_batch(batch.select("doc_id"), f"{path}/documents", batch_id)
-        write_batch(tf_idf(term_freq, idf_table), f"{path}/scores", batch_id)
+        tables = {name: f"{path}/{name}" for name in ("term_freq", "terms", "scores", "documents")}
+
+        def written(df: DataFrame, name: str) -> DataFrame:
+            write_batch(df, tables[name], batch_id)
+            spark = batch.sparkSession
+            return spark.read.schema(df.schema).parquet(batch_path(tables[name], batch_id))
+
+        term_freq = written(term_frequency(batch), "term_freq")
+        known = written(idf_of_terms(term_freq, idf_table), "terms")
+        write_batch(tf_idf(term_freq, known), tables["scores"], batch_id)
+        write_batch(batch.select("doc_id"), tables["documents"], batch_id)
 
     _drain(stream, checkpoint, score_batch, "append")
 

@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF_DIR
 
-from termloom.operators import counting, ranking
+from termloom.operators import counting, partitioning, ranking
 from termloom.plans.corpus import Corpus
 
 
@@ -57,3 +57,12 @@ def test_raw_words_are_ranked_without_a_shuffle(split_documents):
 def test_frequent_terms_meet_by_broadcast(documents):
     plan = physical(Corpus(documents).scores)
     assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
+def test_only_small_tables_are_divided(spark, documents, monkeypatch):
+    texts = documents.select("doc_id", "text")
+    assert "REPARTITION_BY_NUM" in physical(partitioning.spread(texts))
+    divided = sorted(counting.term_frequency(partitioning.spread(texts)).collect())
+    monkeypatch.setattr(partitioning, "SMALL_TABLE_BYTES", 1000)
+    assert "Exchange" not in physical(partitioning.spread(texts))
+    assert sorted(counting.term_frequency(partitioning.spread(texts)).collect()) == divided

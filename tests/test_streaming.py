@@ -111,3 +111,28 @@ def test_a_document_scored_again_replaces_its_scores(spark, documents, root):
 def test_an_empty_batch_reads_as_empty(spark, documents, root):
     write_batch(counting.term_frequency(documents({1: "123"})), f"{root}/totals", 0)
     assert spark.read.schema("term string, batch_id bigint").parquet(f"{root}/totals").count() == 0
+
+
+def test_a_stream_over_an_empty_folder(spark, documents, tmp_path, root):
+    tables = CorpusTables(spark, f"{root}/tables")
+    run = lambda: ingest.ingest_documents(
+        stream_documents(spark, str(tmp_path), schema="doc_id bigint, text string"),
+        tables,
+        f"{root}/checkpoint",
+    )
+    run()
+    drop(documents({1: "apple"}), str(tmp_path))
+    run()
+    assert rows(tables.term_frequency(), "doc_id", "term", "tf") == [(1, "apple", 1)]
+
+
+def test_compacted_totals_are_the_same(spark, corpus, four_files, root):
+    path = f"{root}/totals"
+    stream = stream_documents(spark, four_files, files_per_batch=1)
+    ingest.count_corpus_terms(stream, path, f"{root}/checkpoint")
+    for _ in range(2):
+        ingest.compact_corpus_terms(spark, path)
+        found = ingest.read_corpus_terms(spark, path)
+        assert same(found, counting.corpus_term_frequency(corpus.term_freq))
+    held = spark.read.parquet(path).groupBy("batch_id").count()
+    assert rows(held, "batch_id") == [(ingest.COMPACTED,)]

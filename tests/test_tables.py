@@ -32,6 +32,35 @@ def test_a_batch_replaces_itself_only(spark, documents):
     ]
 
 
+def test_an_emptied_batch_leaves_nothing(store, documents):
+    store.deliver(documents({1: "apple", 2: "pear"}), 0)
+    store.deliver(documents({1: "123"}), 0)
+    assert rows(store.documents(), "doc_id", "text") == [(1, "123")]
+    assert rows(store.term_frequency(), "term") == [] and rows(store.raw_tags(), "term") == []
+
+
+def test_a_batch_that_is_not_listed_is_not_read(store, documents):
+    store.deliver(documents({1: "apple"}), 0)
+    tables.write_batch(counting.term_frequency(documents({2: "pear"})), store.term_freq_path, 1)
+    assert rows(store.term_frequency(), "doc_id", "term", "tf") == [(1, "apple", 1)]
+
+
+def test_results_of_stored_tables(store, documents):
+    store.deliver(documents({1: "apple apple pear", 2: "old words"}), 0)
+    store.deliver(documents({2: "pear plum", 3: ""}), 1)
+    corpus = Corpus.stored(store)
+    direct = Corpus(documents({1: "apple apple pear", 2: "pear plum", 3: ""}))
+    store.store_results(corpus.idf_table, corpus.normalized_tags())
+    assert rows(store.idf(), "*") == rows(direct.idf(), "*")
+    assert rows(store.tags(), "*") == rows(direct.normalized_tags(), "*")
+    assert rows(store.catalog(), "doc_id", "has_raw", "has_normalized") == [
+        (1, True, True),
+        (2, True, True),
+    ]
+    for df in (corpus.idf_table, corpus.normalized_tags(), store.catalog()):
+        assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_whole_table_is_replaced(spark, documents):
     path = scratch_path(spark, "test_idf")
     tables.write_table(Corpus(documents(["apple", "pear"])).idf(), path)
@@ -95,6 +124,26 @@ def test_text_folder(spark, documents):
     assert found.select("doc_id").distinct().count() == 1
 
 
+def test_an_empty_text_file_is_a_document(spark, tmp_path):
+    for name, text in (("a", "apple"), ("b", "pear"), ("empty", "")):
+        (tmp_path / f"{name}.txt").write_text(text)
+    corpus = Corpus.read_text_folder(spark, str(tmp_path))
+    assert rows(corpus.size, "n") == [(3,)]
+    assert rows(corpus.documents, "doc_id") == [("a",), ("b",), ("empty",)]
+    assert rows(corpus.term_freq, "doc_id", "term", "tf") == [("a", "apple", 1), ("b", "pear", 1)]
+
+
+def test_delimited_text_keeps_fields_apart(spark):
+    path = scratch_path(spark, "test_tsv")
+    table = spark.createDataFrame([("apple", None), (None, 1.0)], "term string, idf double")
+    tables.write_delimited(table, path)
+    back = tables.read_delimited(spark, path, "term", "idf")
+    assert sorted(back.collect(), key=str) == [("", 1.0), ("apple", None)]
+    with pytest.raises(Exception, match="a tab or a line break"):
+        bad = spark.createDataFrame([("a\tb", 1.0)], "term string, idf double")
+        tables.write_delimited(bad, scratch_path(spark, "test_tsv"))
+
+
 def test_redelivery_replaces_the_document(store, documents):
     store.deliver(documents({1: "apple apple pear", 2: "pear"}), 0)
     store.deliver(documents({1: "plum", 3: "fig"}), 1)
@@ -149,11 +198,11 @@ def test_document_names(spark):
     ]
 
 
-def test_catalog(documents):
-    corpus = Corpus(documents({1: "apple", 2: "fig", 3: "12345", 4: ""}))
-    found = corpus.catalog()
-    listed = replacing.result_catalog(corpus.raw_tags(), corpus.tags())
-    assert rows(found, "doc_id", "has_raw") == rows(listed, "doc_id", "has_raw")
+def test_catalog(store, documents):
+    store.deliver(documents({1: "apple", 2: "fig", 3: "12345", 4: ""}), 0)
+    corpus = Corpus.stored(store)
+    store.store_results(corpus.idf_table, corpus.normalized_tags())
+    found = store.catalog()
     assert rows(found, "doc_id", "has_raw", "has_normalized", "raw_name", "normalized_name") == [
         (1, True, True, "1.png", "1-normalized.png"),
         (2, False, True, None, "2-normalized.png"),

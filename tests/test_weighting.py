@@ -189,3 +189,26 @@ def test_rankings_match_brute_force(documents, k):
     assert found(ranking.top_by_weight(corpus.scores, k)) == brute.rank(model.scores(), k, True)
     dense = ranking.dense_top(corpus.scores, corpus.idf_table, corpus.documents, k)
     assert found(dense) == brute.rank(model.dense(), k, True)
+
+
+def test_an_unknown_term_on_every_document_meets_the_idf_once(documents):
+    corpus = Corpus(documents(["apple", "pear plum"]))
+    new = Corpus(documents({i: "kiwi apple" for i in range(40)}))
+    known = weighting.idf_of_terms(new.term_freq_table, corpus.idf_table)
+    assert rows(known, "term", "df") == [("apple", 40), ("kiwi", 40)]
+    found = corpus.score(new)
+    assert found.count() == 80
+    assert found.where("term = 'kiwi'").selectExpr("max(tf_idf)").first()[0] == 0
+    small = weighting.tf_idf(new.term_freq_table, known, budget=0)
+    assert sorted(small.collect()) == sorted(found.collect())
+
+
+def test_a_document_of_many_megabytes(spark):
+    text = " ".join(f"{word} common" for word in ("alpha", "beta", "gamma") * 300_000)
+    table = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    assert rows(Corpus(table).term_freq, "term", "tf") == [
+        ("alpha", 300_000),
+        ("beta", 300_000),
+        ("common", 900_000),
+        ("gamma", 300_000),
+    ]
