@@ -1,0 +1,104 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from llm_fixtures import texts  # noqa: F401
+
+from termloom.llm import components, simhash
+
+
+def slow_fingerprint(text):
+    words = (text or "").encode().lower().split()
+    shingles = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [b" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("text", ["", "A b", "a b c", "x y z x y z", "Éa ß c\u00a0d e f", "w " * 700])
+def test_fingerprint(text):
+    assert simhash.fingerprint_of(simhash.shingle_hashes(text)) == slow_fingerprint(text)
+
+
+@pytest.mark.parametrize("k", [0, 1, 3])
+def test_the_trie_finds_all_pairs(k):
+    rng = random.Random(k)
+    values = {rng.getrandbits(64) for _ in range(100)}
+    for value in list(values):
+        for _ in range(3):
+            values.add(value ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 5))) % 2**64)
+    values = np.array(sorted(values), np.uint64)
+    expected = {
+        (i, j)
+        for i in range(len(values))
+        for j in range(i + 1, len(values))
+        if (int(values[i]) ^ int(values[j])).bit_count() <= k
+    }
+    found = [tuple(p) for part in simhash.trie_self_join(values, 0, k) for p in part.tolist()]
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+def slow_components(prints, k=3):
+    parent = list(range(len(prints)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i][1] ^ prints[j][1]).bit_count() <= k:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    groups = {}
+    for i, (doc_id, _) in enumerate(prints):
+        groups.setdefault(root(i), []).append(doc_id)
+    return [min((x for x in groups[root(i)] if x is not None), default=None) for i in range(len(prints))]
+
+
+@pytest.mark.parametrize("unit_size", [3, 20_000])
+def test_links_connect_as_brute_force_does(spark, unit_size):
+    rng = random.Random(5)
+    values = [rng.getrandbits(64) for _ in range(30)]
+    hot = rng.getrandbits(64)
+    values += [hot ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(60)]
+    for value in values[:30]:
+        values += [value ^ (7 << rng.randrange(60)), value ^ (1 << rng.randrange(64))]
+    values = sorted(set(values))
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    table = spark.createDataFrame([(v,) for v in signed], "fingerprint bigint")
+    links = simhash.links_within(table, 3, unit_size)
+    found = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    got, expected = {}, {}
+    for value, component in zip(signed, slow_components([(i, v) for i, v in enumerate(values)])):
+        got.setdefault(found.get(value, value), set()).add(value)
+        expected.setdefault(component, set()).add(value)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_documents(texts):
+    base = "one two three four five six seven eight nine ten " * 30
+    rows = [(5, base), (3, base.upper()), (9, base + "end"), (1, "else " + "fully other words here " * 9)]
+    rows += [(8, None), (7, ""), (6, " \n"), (None, base), (None, "no id at all"), (4, "tail"), (4, "tail")]
+    found = simhash.near_duplicates(texts(rows))
+    expected = slow_components([(i, slow_fingerprint(t)) for i, t in rows])
+    got = sorted((r["doc_id"], r["fingerprint"] % 2**64, r["component_id"]) for r in found.collect() if r["doc_id"])
+    assert got == sorted((i, slow_fingerprint(t), c) for (i, t), c in zip(rows, expected) if i)
+    assert sum(r["doc_id"] is None for r in found.collect()) == 2
+    kept = simhash.keep_one_of_each(texts(rows))
+    assert kept.columns == texts(rows).columns
+    stays = {i for i, c in zip([i for i, _ in rows], expected) if i == c}
+    assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, stays))
+
+
+def test_no_documents(texts):
+    assert simhash.near_duplicates(texts([])).collect() == []
+    assert simhash.keep_one_of_each(texts([])).collect() == []
+
+
+def test_components_of_a_long_chain(spark):
+    links = [(i, i + 1) for i in range(60)] + [(200, 100), (7, 7), (200, 100)]
+    table = spark.createDataFrame(links, "node bigint, other bigint")
+    found = {tuple(r) for r in components.connected_components(table).collect()}
+    assert found == {(i, 0) for i in range(1, 61)} | {(200, 100)}
