@@ -80,22 +80,24 @@ def fingerprint_of(hashes: np.ndarray) -> int:
 
 
 def fingerprints(documents: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fingerprint) of every row of `documents`, the 64 bits as a signed number.
+    """(doc_id, text_hash, fingerprint) of every row of `documents`, 64 bits as a signed number.
 
-    Whole texts; null and blank texts have fingerprint 0.
+    Whole texts; null and blank texts have fingerprint 0. `text_hash` tells
+    rows with the same id, or without one, apart.
     """
-    names = ["doc_id", "fingerprint"]
+    names = ["doc_id", "text_hash", "fingerprint"]
 
     def hash_texts(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 values = [fingerprint_of(shingle_hashes(t, size)) for t in texts_of(part, "text")]
                 column = pa.array(np.array(values, np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), column], names)
+                kept = [part.column("doc_id"), part.column("text_hash")]
+                yield pa.RecordBatch.from_arrays([*kept, column], names)
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        hash_texts, "doc_id bigint, fingerprint bigint"
-    )
+    return documents.select(
+        F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("text_hash")
+    ).mapInArrow(hash_texts, "doc_id bigint, text_hash bigint, fingerprint bigint")
 
 
 def _descend(
@@ -277,7 +279,7 @@ def links_within(distinct: DataFrame, k: int = MAX_DISTANCE, unit_size: int = UN
 def near_duplicates(
     documents: DataFrame, size: int = SHINGLE_WORDS, k: int = MAX_DISTANCE
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of `documents` (doc_id, text).
+    """(doc_id, text_hash, fingerprint, component_id) of every row of `documents` (doc_id, text).
 
     Fingerprints link at `k` or fewer differing bits; a component is named by
     its smallest document, null ids aside (null if it has no other). Equal
@@ -296,7 +298,7 @@ def near_duplicates(
     of_fingerprint = named.select("fingerprint", "head").join(smallest, "head")
     of_fingerprint = materialize(of_fingerprint.drop("head"), "fingerprint_components")
     return marked.join(of_fingerprint, "fingerprint").select(
-        "doc_id", "fingerprint", "component_id"
+        "doc_id", "text_hash", "fingerprint", "component_id"
     )
 
 
@@ -310,9 +312,13 @@ def keep_one_of_each(
     an id, its different rows stay.
     """
     found = near_duplicates(documents, size, k)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    stays = found.where(first).select("doc_id", "text_hash").distinct()
     stays = materialize(stays, "representatives")
-    kept = documents.join(stays, documents["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
+    same = documents["doc_id"].eqNullSafe(stays["doc_id"]) & (
+        F.xxhash64(documents["text"]) == stays["text_hash"]
+    )
+    kept = documents.join(stays, same, "left_semi")
     if has_repeated_ids(kept.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))):
         columns = kept.columns
         row = F.when(F.col("doc_id").isNull(), F.xxhash64(*columns)).alias("row_hash")
