@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from termloom.llm.batches import text_slices, texts_of
 from termloom.llm.components import connected_components
-from termloom.operators.counting import has_repeated_ids
 from termloom.session import materialize
 
 # Fixed values.
@@ -313,13 +312,15 @@ def keep_one_of_each(
     """
     found = near_duplicates(documents, size, k)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    stays = found.where(first).select("doc_id", "text_hash").distinct()
+    stays = found.where(first).groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
     stays = materialize(stays, "representatives")
     same = documents["doc_id"].eqNullSafe(stays["doc_id"]) & (
         F.xxhash64(documents["text"]) == stays["text_hash"]
     )
     kept = documents.join(stays, same, "left_semi")
-    if has_repeated_ids(kept.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"))):
+    # Told by the ids of the representatives, so the texts are joined only once.
+    repeated = stays.groupBy("doc_id").agg(F.sum("rows").alias("rows")).where("rows > 1")
+    if not repeated.isEmpty():
         columns = kept.columns
         row = F.when(F.col("doc_id").isNull(), F.xxhash64(*columns)).alias("row_hash")
         last = kept.groupBy("doc_id", row).agg(F.max(F.struct(*columns)).alias("last"))
