@@ -12,7 +12,6 @@ place by their rank among those of their length.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.llm.batches import text_slices, texts_of
+from termloom.llm.byte_bpe import Vocabulary
 from termloom.session import materialize
 
 CAPACITY = 1024
@@ -32,17 +32,6 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PLACES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
-def byte_encoding(ranks_path: str, pattern: str):
-    """The byte-level BPE of a rank file, without special tokens."""
-    import base64
-
-    import tiktoken
-
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def cuts(n_tokens: int, capacity: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the pieces of a document; only the first may be short."""
     first = n_tokens % capacity or min(n_tokens, capacity)
@@ -53,8 +42,7 @@ def cuts(n_tokens: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 def pieces(
     documents: DataFrame,
-    ranks_path: str,
-    pattern: str,
+    vocabulary: Vocabulary,
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     keep_ids: bool = False,
@@ -69,13 +57,13 @@ def pieces(
     names = [column.split()[0] for column in schema.split(", ")]
 
     def tokenize(batches):
-        encoding = byte_encoding(ranks_path, pattern)
+        encoder, end = vocabulary.encoder(), np.array([end_id], "<u4")
         for batch in batches:
             for part in text_slices(batch, "text"):
                 rows = []
                 ids_of_documents = part.column("doc_id").to_pylist()
                 for doc_id, text in zip(ids_of_documents, texts_of(part, "text")):
-                    ids = np.array(array("I", encoding.encode_ordinary(text) + [end_id]), "<u4")
+                    ids = np.concatenate([encoder.encode(text), end])
                     for number, (start, length) in enumerate(cuts(len(ids), capacity)):
                         data = ids[start : start + length].tobytes()
                         rows.append((doc_id, number, start, length, zlib.crc32(data), data))
@@ -163,16 +151,23 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Pass a written table: it is read for the counts and again for the places.
     Every row gets a place of its own, repeated rows too; rows of equal length
-    are ranked by (doc_id, piece), null first. Offsets in a sequence are gapless
+    are ranked by (doc_id, piece), null first. Full pieces are sequences by
+    themselves and need no rank: theirs have negative numbers. Offsets in a sequence are gapless
     from 0. An empty table has an empty result.
     """
+    full = pieces_table.where(F.col("length") == capacity).withColumns(
+        {
+            "sequence_id": -1 - F.monotonically_increasing_id(),
+            "offset": F.lit(0).cast("bigint"),
+        }
+    )
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_PARTS)).cast("int")
-    parted = pieces_table.withColumn("rank_part", part)
+    parted = pieces_table.where(F.col("length") < capacity).withColumn("rank_part", part)
     counts = parted.groupBy("length", "rank_part").agg(F.count("*").alias("n"))
     upward = Window.partitionBy("length").orderBy("rank_part")
     before = counts.withColumn("before", F.sum("n").over(upward) - F.col("n"))
     before = materialize(before, "length_counts")
-    # At most `capacity` rows.
+    # Less than `capacity` rows.
     totals = before.groupBy("length").agg(F.sum("n").alias("n")).collect()
     runs = best_fit_decreasing({row["length"]: row["n"] for row in totals}, capacity)
     ordered = np.array(sorted(runs), dtype=np.int64).reshape(-1, 6)
@@ -201,19 +196,19 @@ def pack(pieces_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*kept, *found], names)
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces_table.schema)
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+    placed = ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+    return placed.unionByName(full)
 
 
 def pack_documents(
     documents: DataFrame,
-    ranks_path: str,
-    pattern: str,
+    vocabulary: Vocabulary,
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     keep_ids: bool = False,
 ) -> DataFrame:
     """Pieces of all `documents` with their places in sequences of `capacity` tokens."""
-    cut = pieces(documents, ranks_path, pattern, capacity, end_id, keep_ids)
+    cut = pieces(documents, vocabulary, capacity, end_id, keep_ids)
     return pack(materialize(cut, "token_pieces"), capacity)
 
 

@@ -17,14 +17,19 @@ from termloom.llm import (
     sharding,
     simhash,
     token_counts,
+    token_store,
     url_filters,
     warc,
 )
+from termloom.llm.byte_bpe import Vocabulary
 from termloom.operators.partitioning import spread
 from termloom.session import scratch_path
 
-RANKS_PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
-PATTERN = public_tokenizers.PATTERN
+VOCABULARY = Vocabulary.read(
+    public_tokenizers.path("byte_bpe_50k.json"),
+    public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    public_tokenizers.PATTERN,
+)
 PIECES_PATH = public_tokenizers.path("piece_bpe_32k.model")
 URL_RULES = (
     ("org/", "allow"),
@@ -42,7 +47,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 
 def op1_best_fit_packing(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents", "doc_id", "text")
-    return packing.pack_documents(documents, RANKS_PATH, PATTERN)
+    return packing.pack_documents(documents, VOCABULARY)
 
 
 def op2_token_counts(spark, sf_dir):
@@ -115,6 +120,12 @@ def op10_warc(spark, sf_dir):
     )
 
 
+def op12_token_store(spark, sf_dir):
+    folder = scratch_path(spark, "token_store")
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_store.read_documents(token_store.write_shards(documents, folder, VOCABULARY), folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -129,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_benchmark_decontamination,
             op9_sharding,
             op10_warc,
+            op12_token_store,
         )
     }
 

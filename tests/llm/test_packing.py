@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 from llm_fixtures import texts  # noqa: F401
 
 from termloom.llm import packing
-from termloom.llm.queries import PATTERN, RANKS_PATH
+from termloom.llm.queries import VOCABULARY
 
 
 def slow_best_fit(lengths, capacity):
@@ -46,10 +46,9 @@ def test_counts_pack_as_single_items_do(seed):
 
 def test_pieces_and_places(spark, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     long = "It's 12 o'clock,  naïve\n\n\tfoo #hash 中文 <|endoftext|> " * 300
     rows = [(1, "a b"), (1, "a b"), (2, None), (3, ""), (None, "x"), (4, long), (5, "a b")]
-    packed = packing.pack_documents(texts(rows), RANKS_PATH, PATTERN, keep_ids=True)
+    packed = packing.pack_documents(texts(rows), VOCABULARY, keep_ids=True)
     found = packed.collect()
     by_document = {}
     for row in found:
@@ -73,5 +72,18 @@ def test_pieces_and_places(spark, texts):
     assert all(len(row["ids"]) == 4 * row["n_tokens"] for row in whole)
 
 
+def test_a_document_of_blanks_and_one_of_whole_pieces(spark, texts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, " " * 5_000_000 + "a"), (2, "a" + " a" * 4094)]
+    packed = packing.pack_documents(texts(rows), VOCABULARY, keep_ids=True).collect()
+    for doc_id, text in rows:
+        mine = sorted((r["piece"], bytes(r["ids"])) for r in packed if r["doc_id"] == doc_id)
+        ids = np.frombuffer(b"".join(part for _, part in mine), "<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    full = [r["sequence_id"] for r in packed if r["length"] == 1024]
+    assert len(full) == len(set(full)) and len(full) >= 4
+    assert not {r["sequence_id"] for r in packed if r["length"] < 1024} & set(full)
+
+
 def test_no_documents(texts):
-    assert packing.pack_documents(texts([]), RANKS_PATH, PATTERN).collect() == []
+    assert packing.pack_documents(texts([]), VOCABULARY).collect() == []
