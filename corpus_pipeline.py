@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm import decontamination, language, packing, quality, simhash
-from termloom.llm.queries import PATTERN, RANKS_PATH
+from termloom.llm.queries import VOCABULARY
 from termloom.session import scratch_path
 
 
@@ -36,7 +36,7 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all documents' pieces in token sequences."""
-    return packing.pack_documents(docs, RANKS_PATH, PATTERN)
+    return packing.pack_documents(docs, VOCABULARY)
 
 
 STAGES = [
