@@ -14,6 +14,7 @@ from termloom.llm import (
     language,
     packing,
     quality,
+    ranked_search,
     sharding,
     simhash,
     token_counts,
@@ -120,6 +121,11 @@ def op10_warc(spark, sf_dir):
     )
 
 
+def op11_ranked_search(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked_search.search(_table(spark, sf_dir, "documents", "doc_id", "text"), benchmark)
+
+
 def op12_token_store(spark, sf_dir):
     folder = scratch_path(spark, "token_store")
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -140,6 +146,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_benchmark_decontamination,
             op9_sharding,
             op10_warc,
+            op11_ranked_search,
             op12_token_store,
         )
     }
@@ -264,11 +271,34 @@ SELECT doc_id, item_id, round(max(similarity), 6) AS similarity,
 WHERE similarity >= {decontamination.MIN_SIMILARITY} GROUP BY doc_id, item_id"""
 
 
+def _search_sql() -> str:
+    """Every document that shares a term with an item, scored in full."""
+    terms = rf"regexp_extract_all(translate(text, '{url_filters.UPPER}', '{url_filters.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS terms FROM documents),
+sizes AS MATERIALIZED (SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+tf AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d) GROUP BY ALL),
+weights AS (SELECT term,
+    floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, totals GROUP BY term, n_docs),
+norms AS (SELECT r, doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM sizes, totals),
+asked AS (SELECT b, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS b, item_id, unnest({terms}) AS term FROM benchmark) GROUP BY ALL),
+scores AS (SELECT b, item_id, r, doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN norms USING (r) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY b ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank,
+  doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= {ranked_search.TOP}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": _quality_sql(),
         "op4_url_filters": _url_sql(),
         "op8_benchmark_decontamination": _leaks_sql(),
+        "op11_ranked_search": _search_sql(),
         "op10_warc": f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 s AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
