@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import (
+    conversation_repair,
     decontamination,
     html_extraction,
     language,
@@ -132,6 +133,30 @@ def op12_token_store(spark, sf_dir):
     return token_store.read_documents(token_store.write_shards(documents, folder, VOCABULARY), folder)
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """`conversations` with faults by a checksum of each row's place; `present` is false for
+    a row that was dropped."""
+    blank = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = blank("text")
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, F.lit("user")).otherwise(blank("role")).alias("role"),
+        F.when(fault == 1, F.lit(""))
+        .when(fault == 2, F.regexp_replace(text, "[.!?]", ""))
+        .otherwise(text)
+        .alias("text"),
+        (fault != 0).alias("present"),
+        F.explode(F.sequence(F.lit(1), F.when(fault == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+def op13_conversation_repair(spark, sf_dir):
+    turns = damaged(_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conversation_repair.report(turns, F.col("present")).drop("roles")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         query.__name__: query
@@ -148,6 +173,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_warc,
             op11_ranked_search,
             op12_token_store,
+            op13_conversation_repair,
         )
     }
 

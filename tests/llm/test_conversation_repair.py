@@ -1,0 +1,210 @@
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import pytest
+
+from termloom.llm import conversation_repair as repair
+from termloom.llm.queries import damaged, op13_conversation_repair
+from termloom.session import materialize
+
+LEGAL = re.compile(r"(s?(ua)+)?")
+BLANK = re.compile(r"[^\x20\x09-\x0D]")
+NAMES = {"u": "user", "a": "assistant"}
+
+
+def faults_of(turns):
+    """The first fault of each of (turn, role, text)."""
+    seen, found = set(), []
+    for _, role, text in turns:
+        held = BLANK.findall(text)
+        if not held:
+            found.append("blank")
+        elif (role, text) in seen:
+            found.append("duplicate")
+        else:
+            found.append("truncated" if held[-1] not in ".!?" else None)
+        seen.add((role, text))
+    return found
+
+
+def ways(turn, fault):
+    """(cost, letter, repaired turns) of the edits of one turn."""
+    _, role, text = turn
+    yield 4, "D", []
+    if fault not in ("blank", "duplicate"):
+        more = 3 if fault == "truncated" else 0
+        yield more, "K", [(role, text)]
+        for name in NAMES.values():
+            yield 3 + more, "R", [(name, text)]
+
+
+def every_repair(turns):
+    """The cheapest of all edits with up to two insertions in a place."""
+    inserts = [(3 * n, "I" * n, [(NAMES[r], "") for r in roles]) for n in range(3) for roles in itertools.product("ua", repeat=n)]
+    options = [inserts]
+    for turn, fault in zip(turns, faults_of(turns)):
+        options += [list(ways(turn, fault)), inserts]
+    best = None
+    for chosen in itertools.product(*options):
+        cost, audit = sum(c for c, _, _ in chosen), "".join(a for _, a, _ in chosen)
+        if best is None or (cost, audit) < best[:2]:
+            kept = [turn for _, _, part in chosen for turn in part]
+            if LEGAL.fullmatch("".join(role[:1] for role, _ in kept)):
+                best = cost, audit, kept
+    return best
+
+
+def plain_repair(turns):
+    """The cheapest edits by states of the regular language, whole strings compared."""
+
+    def after(state, initial):
+        return {("0", "s"): "s", ("0", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}.get((state, initial))
+
+    def with_inserts(states):
+        for _ in range(3):
+            for state, (cost, audit, kept) in list(states.items()):
+                for initial, name in NAMES.items():
+                    offer(states, after(state, initial), cost + 3, audit + "I", [*kept, (name, "")])
+        return states
+
+    def offer(states, state, cost, audit, kept):
+        if state and (state not in states or (cost, audit) < states[state][:2]):
+            states[state] = cost, audit, kept
+
+    states = {"0": (0, "", [])}
+    for turn, fault in zip(turns, faults_of(turns)):
+        following = {}
+        for state, (cost, audit, kept) in with_inserts(states).items():
+            for more, letter, part in ways(turn, fault):
+                target = after(state, part[0][0][:1]) if part else state
+                offer(following, target, cost + more, audit + letter, kept + part)
+        states = following
+    states = with_inserts(states)
+    return min((states[state] for state in "0a" if state in states), key=lambda found: found[:2])
+
+
+def expected(conv_id, turns, solve=plain_repair):
+    turns = sorted(turns, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+    faults = faults_of(turns)
+    cost, audit, kept = solve(turns)
+    known = [turn for turn, _, _ in turns if turn is not None]
+    gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+    initials = [role[:1] for _, role, _ in turns]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    said = "\n".join(f"{role}:{text}" for role, text in kept)
+    digest = hashlib.sha256(said.encode()).hexdigest()
+    return (conv_id, gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest)
+
+
+def found_by(turns):
+    """The report of one conversation, without Spark."""
+    conversation, seen = repair.Conversation(repair.Repairer(), 1), set()
+    for turn, role, text in turns:
+        conversation.read(turn, role, text, (role, text) in seen)
+        seen.add((role, text))
+    *numbers, audit, roles, digest = conversation.report()
+    assert len(roles) == len(audit)
+    return (*numbers, audit, digest)
+
+
+def random_turns(rng, n):
+    roles = ["system", "user", "user", "assistant", "assistant", "tool", "u", "s", "User", " "]
+    texts = ["Yes.", "No!", "Why?", "and then", " ", "", "x. \n", "é", "\x85"]
+    return [(rng.choice([0, i, i, i]), rng.choice(roles), rng.choice(texts)) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_repairs_are_the_cheapest_of_all(seed):
+    rng = random.Random(seed)
+    turns = sorted(random_turns(rng, rng.randint(0, 3)), key=lambda t: t)
+    assert found_by(turns) == expected(1, turns, every_repair)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_repairs_equal_those_by_states(seed):
+    rng = random.Random(seed)
+    turns = sorted(random_turns(rng, rng.randint(0, 40)))
+    assert found_by(turns) == expected(1, turns)
+
+
+def test_automaton_accepts_the_language():
+    automaton = repair.Automaton()
+    for n in range(7):
+        for word in itertools.product("sua", repeat=n):
+            stacks = [automaton.start]
+            for letter in word:
+                stacks = [after for stack in stacks for after in automaton.push(stack, letter)]
+            accepted = any(automaton.push(stack, repair.END) for stack in stacks)
+            assert accepted == bool(LEGAL.fullmatch("".join(word)))
+
+
+def test_a_long_conversation_of_one_role():
+    turns = [(i, "user", f"Turn {i}.") for i in range(20_000)]
+    *_, audit, _ = found_by(turns)
+    assert audit.replace("KR", "") == "" and len(audit) == 20_000
+
+
+COLUMNS = "conv_id bigint, turn bigint, role string, text string, audit string, cost int"
+
+
+def rows_of(spark, turns):
+    return spark.createDataFrame([(*turn, "x", 1) for turn in turns], COLUMNS)
+
+
+def test_reports_and_repaired_turns(spark):
+    rng = random.Random(5)
+    held = {conv: random_turns(rng, rng.randint(1, 30)) for conv in [*range(60), None]}
+    held[100] = [(None, "user", "Hi."), (None, None, None), (2, "assistant", "long " * 50_000 + ".")]
+    held[101] = [(None, "user", "Hi.")]
+    turns = [(conv, *turn) for conv, own in held.items() for turn in own]
+    table = rows_of(spark, turns)
+    report = materialize(repair.report(table), "report")
+    found = {row["conv_id"]: tuple(row) for row in report.drop("roles").collect()}
+    held = {conv: [(t, " " if r is None else r, " " if x is None else x) for t, r, x in own] for conv, own in held.items()}
+    assert found == {conv: expected(conv, own) for conv, own in held.items()}
+    lines = {}
+    for row in repair.repaired_turns(table, report).orderBy("place").collect():
+        lines.setdefault(row["conv_id"], []).append(f"{row['role']}:{row['text']}")
+    for conv, row in found.items():
+        said = "\n".join(lines.get(conv, []))
+        assert hashlib.sha256(said.encode()).hexdigest() == row[-1]
+
+
+def test_no_turns(spark):
+    assert repair.report(rows_of(spark, [])).collect() == []
+
+
+def slow_damage(turns):
+    held = {}
+    for conv, turn, role, text in turns:
+        own = held.setdefault(conv, [])
+        blank = lambda value: " " if value is None else str(value)
+        role, text = blank(role), blank(text)
+        fault = zlib.crc32(f"{blank(conv)}:{blank(turn)}".encode()) % 20
+        if fault == 1:
+            text = ""
+        if fault == 2:
+            text = re.sub("[.!?]", "", text)
+        if fault == 4:
+            role = "user"
+        own += [(turn, role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    return held
+
+
+def test_query_over_the_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    columns = ["conv_id", "turn", "role", "text"]
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(*columns).collect()
+    rows = [tuple(row) for row in op13_conversation_repair(spark, sf_dir).collect()]
+    assert sorted(rows) == sorted(expected(conv, own) for conv, own in slow_damage(turns).items())
+
+
+def test_damage_of_nulls(spark):
+    turns = [(c, t, r, x) for c in (None, 1, 2, 3) for t in (None, 0, 1, 2, 3) for r, x in (("user", "Hi. You!"), (None, None), ("assistant", None), (None, "So?"))]
+    table = damaged(rows_of(spark, turns))
+    rows = [tuple(row) for row in repair.report(table, table["present"]).drop("roles").collect()]
+    key = lambda row: (row[0] is not None, row[0] or 0)
+    assert sorted(rows, key=key) == sorted((expected(c, own) for c, own in slow_damage(turns).items()), key=key)
