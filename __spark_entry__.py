@@ -19,6 +19,7 @@ from termloom.session import scratch_path
 from termloom.sources.documents import read_documents, read_text_folder, stream_documents
 from termloom.sources.tables import (
     CorpusTables,
+    IdfTable,
     read_batches,
     read_delimited,
     write_all_tf_idf,
@@ -31,7 +32,9 @@ from termloom.streaming import ingest
 try:  # absent where the library is used without its text preparation
     import corpus_pipeline
     from termloom.llm import queries as llm
-except ImportError:
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "termloom.llm"):
+        raise
     llm = None
 
 # The tables come in few files: tasks for the texts of a micro-batch.
@@ -86,6 +89,12 @@ def corpus_term_frequency(spark, sf_dir):
     return counting.corpus_term_frequency(_corpus(spark, sf_dir).term_freq)
 
 
+def term_frequency_of_cut_texts(spark, sf_dir):
+    """Most texts are cut here, and counted in parts by different tasks."""
+    documents = _documents(spark, sf_dir)
+    return Corpus(documents, spread(documents), longest=1000).term_freq
+
+
 def document_frequency(spark, sf_dir):
     return counting.document_frequency(_corpus(spark, sf_dir).term_freq)
 
@@ -320,7 +329,8 @@ def stream_score_against_snapshot(spark, sf_dir):
     root = scratch_path(spark, "stream_scores")
     pages = f"{sf_dir}/pages*.parquet"
     stream = stream_documents(spark, pages, "page_id", "html", tasks=STREAM_TASKS)
-    idf_table = _corpus(spark, sf_dir).idf_table
+    idf_table = IdfTable(spark, f"{root}/idf")
+    idf_table.write(_corpus(spark, sf_dir).idf_table)
     ingest.score_documents(stream, idf_table, f"{root}/scored", f"{root}/checkpoint")
     scores = ingest.read_scores(spark, f"{root}/scored")
     return _rounded(scores.select("doc_id", "term", "tf_idf"), "tf_idf")
@@ -345,6 +355,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             term_frequency,
             term_frequency_by_key,
             corpus_term_frequency,
+            term_frequency_of_cut_texts,
             document_frequency,
             corpus_size,
             idf,
@@ -528,6 +539,7 @@ SELECT doc_id, CASE WHEN text = '' THEN 0
   ELSE len(regexp_extract_all(closed, '\r\n|\r|\n')) + 1 END::BIGINT AS n_lines FROM t""",
         "term_frequency": tf_rows,
         "term_frequency_by_key": tf_rows,
+        "term_frequency_of_cut_texts": tf_rows,
         "corpus_term_frequency": corpus_tf_rows,
         "document_frequency": tf + "\nSELECT term, count(*) AS df FROM tf GROUP BY term",
         "corpus_size": "SELECT count(DISTINCT doc_id) AS n FROM documents",

@@ -19,7 +19,8 @@ WORD_BOUNDARY = (
 # The leading look-ahead only rejects hopeless positions early.
 TOKEN_PATTERN = f"(?={TOKEN_CHARACTER}){WORD_BOUNDARY}{TOKEN_CHARACTER}+{WORD_BOUNDARY}"
 LINE_BREAK = r"\r\n?|\n"
-WHITESPACE = r"[\t\n\x0B\f\r ]+"
+BLANKS = r"\t\n\x0B\f\r "
+WHITESPACE = f"[{BLANKS}]+"
 RAW_WORD_DROPPED = '.:;()",?!<>/'
 RAW_WORD_MIN_LENGTH = 4
 RAW_WORD_MAX_LENGTH = 32

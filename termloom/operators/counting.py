@@ -8,11 +8,20 @@ between the starts. That needs no shuffle, where grouping exploded tokens by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text
-from termloom.functions.text import lines, raw_words, tokens
+from termloom.functions.text import BLANKS, lines, raw_words, tokens
+
+# A text of more bytes is cut before it is counted, so that no task has it alone.
+LONG_TEXT = 8 * 1024 * 1024
+# Where a text is cut: at the first blank within so many characters from its middle.
+CUT_WINDOW = 65_536
+# Tasks that the parts of long texts are dealt to, unless there are more shuffle partitions.
+PART_TASKS = 64
 
 
 def _runs_in_row(documents: DataFrame, key: str, words: Column) -> tuple[DataFrame, Column]:
@@ -36,16 +45,113 @@ def _runs_in_row(documents: DataFrame, key: str, words: Column) -> tuple[DataFra
     return rows, F.transform("starts", run)
 
 
-def id_totals(documents: DataFrame, key: str = "doc_id") -> tuple[int, int]:
-    """(rows with an id, different ids), in one pass over the ids."""
-    rows, ids = documents.agg(F.count(key), F.count_distinct(key)).first()
-    return rows, ids
+@dataclass(frozen=True)
+class Shape:
+    """What decides how documents are counted: rows with an id, different ids, and the
+    bytes of the longest text."""
+
+    rows: int
+    ids: int
+    longest: int = 0
+
+    @classmethod
+    def of(cls, documents: DataFrame, key: str = "doc_id") -> Shape:
+        """In one pass, which shuffles ids only."""
+        totals = [F.count(key), F.count_distinct(key)]
+        if "text" in documents.columns:
+            totals.append(F.coalesce(F.max(F.octet_length("text")), F.lit(0)))
+        return cls(*documents.agg(*totals).first())
+
+    @property
+    def has_repeated_ids(self) -> bool:
+        return self.ids < self.rows
+
+
+def cut_texts(documents: DataFrame, longest: int = LONG_TEXT, key: str = "doc_id") -> DataFrame:
+    """(document, part, text): texts of more than `longest` bytes in parts, others whole.
+
+    A text is halved at white space near its middle, its halves likewise, until
+    they are short enough. Neither tokens nor raw words reach over white space,
+    so the parts have those of the text. A stretch without any is not cut.
+    """
+    whole = F.struct(F.col("part"), F.col("text"))
+    middle = F.length("text").cast("int") / 2
+    window = F.substr("text", middle.cast("int") + 1, F.lit(CUT_WINDOW))
+    parts = documents.select(key, F.lit(1).cast("bigint").alias("part"), "text")
+    # A string has at most 2^31 bytes.
+    for _ in range(max(1, (2**31 // longest).bit_length())):
+        # Its length in characters; positions of a match would count UTF-16 units.
+        stretch = F.length(F.regexp_extract(window, f"^[^{BLANKS}]*", 0))
+        cut = F.when(
+            (F.octet_length("text") > longest) & (stretch < F.length(window)),
+            middle.cast("int") + stretch + 1,
+        )
+        halves = F.array(
+            F.struct((F.col("part") * 2).alias("part"), F.substr("text", F.lit(1), F.col("cut")).alias("text")),
+            F.struct((F.col("part") * 2 + 1).alias("part"), F.substr("text", F.col("cut") + 1).alias("text")),
+        )
+        parts = parts.withColumn("cut", cut).select(
+            key, F.inline(F.when(F.col("cut").isNull(), F.array(whole)).otherwise(halves))
+        )
+    return parts
+
+
+def _counted_by_length(documents: DataFrame, longest: int, key: str, in_row, of_parts) -> DataFrame:
+    """`in_row` of the texts of up to `longest` bytes and `of_parts` of the others' parts."""
+    short = documents.where(F.octet_length("text") <= longest)
+    long = cut_texts(documents.where(F.octet_length("text") > longest), longest, key)
+    tasks = max(PART_TASKS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return in_row(short).unionByName(of_parts(long.repartition(tasks, key, "part")))
 
 
-def has_repeated_ids(documents: DataFrame, key: str = "doc_id") -> bool:
-    """Whether some document has several rows. Reads and shuffles ids only."""
-    rows, ids = id_totals(documents, key)
-    return ids < rows
+def term_frequency_of(
+    documents: DataFrame, longest_text: int, key: str = "doc_id", longest: int = LONG_TEXT
+) -> DataFrame:
+    """`term_frequency` where the longest text has `longest_text` bytes.
+
+    Beyond `longest` such a text is counted by many tasks.
+    """
+    if longest_text <= longest:
+        return term_frequency(documents, key)
+    return _counted_by_length(
+        documents,
+        longest,
+        key,
+        lambda short: term_frequency(short, key),
+        lambda parts: term_frequency_of_parts(parts, key),
+    )
+
+
+def raw_word_frequency_of(
+    documents: DataFrame, longest_text: int, key: str = "doc_id", longest: int = LONG_TEXT
+) -> DataFrame:
+    """`raw_word_frequency` where the longest text has `longest_text` bytes."""
+    if longest_text <= longest:
+        return raw_word_frequency(documents, key)
+    return _counted_by_length(
+        documents,
+        longest,
+        key,
+        lambda short: raw_word_frequency(short, key),
+        lambda parts: raw_word_frequency_of_parts(parts, key),
+    )
+
+
+def raw_word_top_of(
+    documents: DataFrame, k: int, longest_text: int, key: str = "doc_id", longest: int = LONG_TEXT
+) -> DataFrame:
+    """`raw_word_top` where the longest text has `longest_text` bytes."""
+    if longest_text <= longest:
+        return raw_word_top(documents, k, key)
+
+    def top_of_parts(parts: DataFrame) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(F.col("freq").desc(), "term")
+        ranked = raw_word_frequency_of_parts(parts, key).withColumn("rank", F.row_number().over(order))
+        return ranked.where(F.col("rank") <= k)
+
+    return _counted_by_length(
+        documents, longest, key, lambda short: raw_word_top(short, k, key), top_of_parts
+    )
 
 
 def tokenize(documents: DataFrame, key: str = "doc_id") -> DataFrame:

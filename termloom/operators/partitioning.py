@@ -13,6 +13,8 @@ SMALL_TABLE_FILES = 100
 
 def is_small(table: DataFrame) -> bool:
     """Whether the files that a table is read from are few and small together."""
+    if table.rdd.getNumPartitions() > SMALL_TABLE_FILES:
+        return False  # without listing the names of a large table's files
     files = table.inputFiles()
     if not files or len(files) > SMALL_TABLE_FILES:
         return False

@@ -73,37 +73,34 @@ def dense_top(
     0, in term order. Fewer than k weighted terms can stand in the way, so the
     first k terms of the vocabulary always suffice for filling, and the
     document x vocabulary grid is not needed.
+
+    Every document has one more row, which ranks behind its weighted terms. In
+    a document that has k of them it falls behind the cut; elsewhere it becomes
+    the missing terms. So full documents pass as they are, in one shuffle.
     """
-    pool = (
-        vocabulary.select("term")
-        .orderBy("term")
-        .limit(k)
-        .agg(F.array_sort(F.collect_list("term")))
-        .scalar()
-    )
+    first = vocabulary.select("term").orderBy("term").limit(k)
+    pool = first.agg(F.array_sort(F.collect_list("term"))).scalar()
+    # At most k rows, so one task may number them.
+    places = first.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place"))
     weighted = scores.select(key, "term", truncated_weight(F.col("tf_idf")).alias("weight"))
-    tags = (
-        top_per_document(weighted.where("weight > 0"), F.col("weight"), k, key)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "term", "weight"))).alias("tags"))
+    filler = documents.select(key).distinct().select(
+        key, F.lit(None).cast("string").alias("term"), F.lit(0).alias("weight")
     )
-    tag = lambda term, weight: F.struct(term.alias("term"), weight.alias("weight"))
-    held = F.coalesce(F.col("tags.term"), F.array().cast("array<string>"))
-    filling = F.slice(F.array_except("pool", held), F.lit(1), F.lit(k) - F.size(held))
-    ranked = F.concat(
-        F.coalesce(
-            F.transform("tags", lambda t: tag(t["term"], t["weight"])),
-            F.array().cast("array<struct<term:string,weight:int>>"),
+    rows = weighted.where("weight > 0").unionByName(filler)
+    ranked = top_per_document(rows, F.col("weight"), k, key)
+    # Places in the pool that a document's weighted terms hold: a few, or none.
+    held = F.collect_list("place").over(Window.partitionBy(key))
+    placed = ranked.join(F.broadcast(places), "term", "left").withColumn("held", held)
+    free = F.array_except(F.transform("pool", lambda _, place: place), "held")
+    missing = F.transform(
+        F.slice(free, F.lit(1), k + 1 - F.col("rank")),
+        lambda place, i: F.struct(
+            F.get("pool", place).alias("term"), F.lit(0).alias("weight"), (F.col("rank") + i).alias("rank")
         ),
-        F.transform(filling, lambda term: tag(term, F.lit(0))),
     )
-    return (
-        documents.select(key)
-        .distinct()
-        .join(tags, key, "left")
-        .select(key, "tags", pool.alias("pool"))
-        .select(key, F.posexplode(ranked).alias("position", "tag"))
-        .select(key, "tag.term", "tag.weight", (F.col("position") + 1).alias("rank"))
+    tags = F.when(F.col("term").isNull(), missing).otherwise(F.array(F.struct("term", "weight", "rank")))
+    return placed.select(key, "term", "weight", "rank", "held", pool.alias("pool")).select(
+        key, F.inline(tags)
     )
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.functions.text import without_extension
+from termloom.operators.reducing import key_bitmap, may_hold
+from termloom.session import materialize
 
 # Endings of result names.
 RAW_ENDING = ".png"
@@ -16,14 +18,35 @@ BROADCAST_PAIRS = 1_000_000
 
 
 def newest(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The last row of each key by `order`, all columns taken as one.
+    """The last row of each key by `order`, then by its other columns.
 
-    A maximum is combined before the shuffle, so a key with most of the rows
-    costs one row per task; a window would gather that key in one task.
+    Keys and the first column of `order`, the version, decide which rows are
+    the last of their key; nothing else is aggregated or moved for that, and a
+    key with most of the rows costs one row per task. Rows of other versions
+    are dropped where they are before the rest of the columns is joined. Only
+    rows that share key and version are compared by all of their columns.
     """
-    others = [c for c in rows.columns if c != key and c not in order]
-    last = rows.groupBy(key).agg(F.max(F.struct(*order, *others)).alias("last"))
-    return last.select(key, "last.*").select(*rows.columns)
+    version = list(order[:1])
+    names = [key, *version]
+    counted = rows.groupBy(*names).agg(F.count("*").alias("n"))
+    if version:
+        counted = counted.groupBy(key).agg(
+            F.max(version[0]).alias(version[0]), F.max_by("n", version[0]).alias("n")
+        )
+    # Versions that are null together are told apart as rows that share one.
+    last = materialize(counted.withColumn("n", F.coalesce("n", F.lit(2))), "newest_versions")
+
+    def of(versions: DataFrame) -> DataFrame:
+        held = may_hold(rows, key_bitmap(versions, *names), *names).alias("row")
+        same = [F.col(f"row.{name}").eqNullSafe(F.col(f"last.{name}")) for name in names]
+        return held.join(versions.select(*names).alias("last"), same, "left_semi")
+
+    # Without ties, adaptive execution drops the second branch.
+    others = [*order[1:], *(c for c in rows.columns if c != key and c not in order)]
+    tied = of(last.where("n > 1")).groupBy(*names).agg(F.max(F.struct(*others)).alias("tied"))
+    return of(last.where("n = 1")).select(*rows.columns).unionByName(
+        tied.select(*names, "tied.*").select(*rows.columns)
+    )
 
 
 def without_superseded(rows: DataFrame, versions: DataFrame, key: str, version: str) -> DataFrame:
@@ -41,6 +64,7 @@ def without_superseded(rows: DataFrame, versions: DataFrame, key: str, version:
         .where(F.col(version) < F.col("current"))
         .select(key, version)
     )
+    superseded = materialize(superseded, "superseded")
     if superseded.count() <= BROADCAST_PAIRS:
         superseded = F.broadcast(superseded)
     return rows.join(superseded, [key, version], "left_anti")

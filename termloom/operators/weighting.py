@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.weights import inverse_document_frequency, score
-from termloom.operators.counting import document_frequency
+from termloom.operators.reducing import key_bitmap, may_hold
 
 # The frequent terms of an IDF table may be broadcast up to this size. A row
 # is charged its term and the fixed part of its hashed form.
@@ -78,17 +78,21 @@ def tf_idf(
     )
 
 
-def idf_of_terms(term_freq: DataFrame, idf_table: DataFrame) -> DataFrame:
-    """(term, df, idf) of the terms of `term_freq`: their df there, their IDF elsewhere.
+def idf_of_terms(terms: DataFrame, idf_table: DataFrame) -> DataFrame:
+    """(term, df, idf) of new documents' `terms` (term, df), with their IDF elsewhere.
 
-    A term that `idf_table` lacks has IDF 0. Each term comes to the join once,
-    however many documents hold it, so no key of it is hot. With `tf_idf`, which
-    then broadcasts the terms that are frequent in `term_freq`, new documents
-    are scored at a cost that follows them and not their hottest term.
+    A term that `idf_table` lacks has IDF 0. The IDF of a large corpus is read
+    and left where it is: only its rows that the new terms may need are joined.
+    Each term comes to the join once, however many documents hold it, so no key
+    of it is hot. With `tf_idf`, which then broadcasts the terms that are
+    frequent in the new documents, these are scored at a cost that follows them
+    and neither their hottest term nor the corpus. `terms` is read twice: pass a
+    written table.
     """
-    return document_frequency(term_freq).join(
-        idf_table.select("term", "idf"), "term", "left"
-    ).select("term", "df", F.coalesce("idf", F.lit(0.0)).alias("idf"))
+    needed = may_hold(idf_table.select("term", "idf"), key_bitmap(terms, "term"), "term")
+    return terms.join(needed, "term", "left").select(
+        "term", "df", F.coalesce("idf", F.lit(0.0)).alias("idf")
+    )
 
 
 def corpus_tf_idf(term_freq: DataFrame, size: DataFrame) -> DataFrame:

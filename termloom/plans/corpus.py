@@ -23,13 +23,19 @@ class Corpus:
 
     `texts` may hold the same rows divided otherwise, for the work on texts;
     questions about ids alone go to `documents`. With `in_parts` a document may
-    have several rows in `texts`; without it the ids of `documents` tell.
+    have several rows in `texts`; without it the ids of `documents` tell. Texts of
+    more than `longest` bytes are cut and counted by many tasks.
     """
 
     def __init__(
-        self, documents: DataFrame, texts: DataFrame | None = None, in_parts: bool = False
+        self,
+        documents: DataFrame,
+        texts: DataFrame | None = None,
+        in_parts: bool = False,
+        longest: int = counting.LONG_TEXT,
     ):
         self.in_parts = in_parts
+        self.longest = longest
         self.documents = documents
         self.texts = documents if texts is None else texts
 
@@ -58,28 +64,28 @@ class Corpus:
         return corpus
 
     @cached_property
-    def totals(self) -> tuple[int, int]:
-        """(rows, documents), from the ids alone."""
-        return counting.id_totals(self.documents)
+    def shape(self) -> counting.Shape:
+        """Rows, documents and the longest text."""
+        return counting.Shape.of(self.documents)
 
     @property
     def has_parts(self) -> bool:
         """Whether some document has several rows, which must be added up."""
-        return self.in_parts or self.totals[1] < self.totals[0]
+        return self.in_parts or self.shape.has_repeated_ids
 
     @cached_property
     def term_freq(self) -> DataFrame:
         """(doc_id, term, tf), computed by whoever reads it."""
         if self.has_parts:
             return counting.term_frequency_of_parts(self.texts)
-        return counting.term_frequency(self.texts)
+        return counting.term_frequency_of(self.texts, self.shape.longest, longest=self.longest)
 
     @cached_property
     def raw_freq(self) -> DataFrame:
         """(doc_id, term, freq) of raw words."""
         if self.has_parts:
             return counting.raw_word_frequency_of_parts(self.texts)
-        return counting.raw_word_frequency(self.texts)
+        return counting.raw_word_frequency_of(self.texts, self.shape.longest, longest=self.longest)
 
     @cached_property
     def term_freq_table(self) -> DataFrame:
@@ -90,7 +96,7 @@ class Corpus:
     def size(self) -> DataFrame:
         """One row `n`."""
         spark = self.documents.sparkSession
-        return spark.range(1).select(F.lit(self.totals[1]).cast("bigint").alias("n"))
+        return spark.range(1).select(F.lit(self.shape.ids).cast("bigint").alias("n"))
 
     def idf(self, include_corpus_document: bool = False) -> DataFrame:
         """(term, df, idf) in one pass over the texts."""
@@ -147,9 +153,12 @@ class Corpus:
         """Most frequent raw words of every document."""
         if self.has_parts:
             return ranking.top_raw_words(self.raw_freq)
-        return counting.raw_word_top(self.texts, ranking.RANKING_SIZE)
+        return counting.raw_word_top_of(
+            self.texts, ranking.RANKING_SIZE, self.shape.longest, longest=self.longest
+        )
 
     def score(self, new: Corpus) -> DataFrame:
         """TF-IDF of documents outside the corpus by its IDF; unknown terms score 0."""
-        known = weighting.idf_of_terms(new.term_freq_table, self.idf_table)
+        terms = materialize(counting.document_frequency(new.term_freq_table), "new_terms")
+        known = weighting.idf_of_terms(terms, self.idf_table)
         return weighting.tf_idf(new.term_freq_table, materialize(known, "known_terms"))

@@ -40,12 +40,59 @@ def read_text_folder(spark: SparkSession, path: str, by_folder: bool = False) ->
 def list_text_documents(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
     """(doc_id) of the text files under `path`, empty ones too.
 
-    The names come from the list of files that Spark plans a read with, since a
-    read itself passes over empty files.
+    Spark's own reads pass over empty files, so tasks list them apart.
     """
-    files = spark.read.text(path, recursiveFileLookup=by_folder).inputFiles()
-    table = spark.createDataFrame([(name,) for name in files], "path string")
-    return table.select(_document_name(F.col("path"), by_folder).alias("doc_id")).distinct()
+    files = list_files(spark, path, subfolders=by_folder)
+    return files.select(_document_name(F.col("path"), by_folder).alias("doc_id")).distinct()
+
+
+def list_files(spark: SparkSession, folder: str, subfolders: bool = True) -> DataFrame:
+    """(path) of the files in a folder, or in its subfolders too, hidden ones left out.
+
+    One task lists the folder itself and many its subfolders; names do not come
+    to the driver. Special characters are written as Spark does in file paths.
+    The folder must be in a file system that tasks reach by its address.
+    """
+
+    def listed(batches, whole: bool):
+        import re
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        special = re.compile(r"[\x00-\x20\x7f\"#%<>?\[\]\\^`{|}]")
+
+        def quoted(name: str) -> str:
+            return special.sub(lambda c: f"%{ord(c[0]):02X}", name)
+
+        def visible(path: str, base: str) -> bool:
+            return not any(part[:1] in ("_", ".") for part in path[len(base) :].split("/") if part)
+
+        for batch in batches:
+            for path, is_folder in zip(*(column.to_pylist() for column in batch.columns)):
+                if not is_folder:
+                    found = [(path, False)]
+                else:
+                    files, base = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+                    infos = files.get_file_info(fs.FileSelector(base, recursive=whole))
+                    prefix = path[: len(path) - len(base)] if path.endswith(base) else ""
+                    found = []
+                    for info in infos:
+                        if visible(info.path, base):
+                            within = info.type == fs.FileType.Directory
+                            # Folders are listed again, by their plain names.
+                            name = info.path if within else quoted(info.path)
+                            found.append((prefix + name, within))
+                paths, folders = zip(*found) if found else ((), ())
+                columns = [pa.array(paths, pa.string()), pa.array(folders, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "folder"])
+
+    schema = "path string, folder boolean"
+    root = spark.range(1).select(F.lit(folder.rstrip("/")).alias("path"), F.lit(True).alias("folder"))
+    entries = root.mapInArrow(lambda batches: listed(batches, False), schema)
+    if subfolders:
+        entries = divide(entries).mapInArrow(lambda batches: listed(batches, True), schema)
+    return entries.where(~F.col("folder")).select("path")
 
 
 def stream_documents(

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import tokens
-from termloom.operators.counting import has_repeated_ids, term_frequency
+from termloom.operators.counting import Shape, document_frequency, term_frequency_of
 from termloom.operators.replacing import newest, without_superseded
 from termloom.operators.weighting import idf_of_terms, tf_idf
 from termloom.session import materialize
-from termloom.sources.tables import CorpusTables, batch_path, read_batches, write_batch
+from termloom.sources.tables import CorpusTables, IdfTable, batch_path, read_batches, write_batch
 
 # Number of the batch that holds compacted totals.
 COMPACTED = -1
@@ -83,24 +83,27 @@ def compact_corpus_terms(spark: SparkSession, path: str) -> None:
             write_batch(totals.limit(0), path, number)
 
 
-def score_documents(stream: DataFrame, idf_table: DataFrame, path: str, checkpoint: str) -> None:
+def score_documents(stream: DataFrame, idf_table: IdfTable, path: str, checkpoint: str) -> None:
     """Score arrived documents by a fixed IDF table as they come.
 
-    The term frequencies of a micro-batch are a part of it, under its number.
+    A micro-batch reads the buckets of the IDF that its terms fall in. Its term
+    frequencies are a part of it, under its number.
     """
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        if has_repeated_ids(batch):
+        shape = Shape.of(batch)
+        if shape.has_repeated_ids:
             batch = newest(batch, "doc_id", "arrived")
-        tables = {name: f"{path}/{name}" for name in ("term_freq", "terms", "scores", "documents")}
+        tables = {name: f"{path}/{name}" for name in ("term_freq", "terms", "known", "scores", "documents")}
 
         def written(df: DataFrame, name: str) -> DataFrame:
             write_batch(df, tables[name], batch_id)
             spark = batch.sparkSession
             return spark.read.schema(df.schema).parquet(batch_path(tables[name], batch_id))
 
-        term_freq = written(term_frequency(batch), "term_freq")
-        known = written(idf_of_terms(term_freq, idf_table), "terms")
+        term_freq = written(term_frequency_of(batch, shape.longest), "term_freq")
+        terms = written(document_frequency(term_freq), "terms")
+        known = written(idf_of_terms(terms, idf_table.of_terms(terms)), "known")
         write_batch(tf_idf(term_freq, known), tables["scores"], batch_id)
         write_batch(batch.select("doc_id"), tables["documents"], batch_id)
 

@@ -6,7 +6,7 @@ from termloom.operators import counting
 from termloom.plans.corpus import Corpus
 from termloom.session import scratch_path
 from termloom.sources.documents import stream_documents
-from termloom.sources.tables import CorpusTables, write_batch
+from termloom.sources.tables import CorpusTables, IdfTable, write_batch
 from termloom.streaming import ingest
 
 
@@ -51,7 +51,8 @@ def test_corpus_terms_over_four_batches(spark, corpus, four_files, root):
 
 
 def test_scores_over_four_batches(spark, corpus, four_files, root):
-    idf_table = corpus.idf_table
+    idf_table = IdfTable(spark, f"{root}/idf")
+    idf_table.write(corpus.idf_table)
     stream = stream_documents(spark, four_files, files_per_batch=1)
     ingest.score_documents(stream, idf_table, f"{root}/scored", f"{root}/checkpoint")
     found = ingest.read_scores(spark, f"{root}/scored")
@@ -95,7 +96,8 @@ def test_running_totals_resume(spark, documents, root):
 
 
 def test_a_document_scored_again_replaces_its_scores(spark, documents, root):
-    idf_table = Corpus(documents(["apple", "pear"])).idf_table
+    idf_table = IdfTable(spark, f"{root}/idf")
+    idf_table.write(Corpus(documents(["apple", "pear"])).idf_table, buckets=8)
     source = f"{root}/in"
     run = lambda: ingest.score_documents(
         stream_documents(spark, source), idf_table, f"{root}/scored", f"{root}/checkpoint"

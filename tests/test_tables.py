@@ -4,11 +4,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from termloom.operators import counting, ranking, replacing
+from termloom.operators import counting, ranking, reducing, replacing, weighting
 from termloom.plans.corpus import Corpus
-from termloom.session import scratch_path
+from termloom.session import materialize, scratch_path
 from termloom.sources import tables
-from termloom.sources.documents import read_documents, read_text_folder
+from termloom.sources.documents import list_files, read_documents, read_text_folder
 
 TERM_FREQ = "doc_id bigint, term string, tf bigint"
 
@@ -222,3 +222,163 @@ def test_reading_takes_two_columns(spark):
     table = read_documents(spark, "/root/testdata/sf0.001/pages.parquet", "page_id", "html")
     assert table.columns == ["doc_id", "text"]
     assert ranking.RANKING_SIZE == 300
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("written", [1, 2, 3, 4])
+def test_a_resend_that_stops_half_way_changes_nothing(store, documents, monkeypatch, written):
+    store.deliver(documents({1: "apple", 2: "pear"}), 0)
+    store.deliver(documents({2: "plum plum"}), 1)
+
+    def state():
+        parts = (store.documents(), store.term_frequency(), store.raw_tags(), store.ids())
+        return [sorted(map(tuple, part.collect())) for part in parts]
+
+    before, planned = state(), store.term_frequency()
+    paths = iter([tables.attempt_path] * written)
+
+    def attempt_path(*place):
+        """Fails once so many tables are written."""
+        try:
+            return next(paths)(*place)
+        except StopIteration:
+            raise Stopped from None
+
+    def add(*commit):
+        raise Stopped
+
+    with monkeypatch.context() as patch:
+        patch.setattr(tables, "attempt_path", attempt_path)
+        patch.setattr(store.commits, "add", add)
+        with pytest.raises(Stopped):
+            store.deliver(documents({3: "fig"}), 1)
+    assert state() == before
+    store.deliver(documents({3: "fig"}), 1)
+    assert rows(store.documents(), "doc_id", "text") == [(1, "apple"), (2, "pear"), (3, "fig")]
+    # A reader that planned before the new attempt finishes with the former one.
+    assert sorted(map(tuple, planned.collect())) == before[1]
+
+
+def test_compaction_keeps_results_and_reads_fewer_files(store, documents):
+    for batch in range(6):
+        store.deliver(documents({i: f"word{'abcdef'[batch]} same" for i in range(batch, 20, 3)}), batch)
+    tables_of = lambda: (store.documents(), store.term_frequency(), store.raw_tags(), store.ids())
+    state = lambda: [sorted(map(tuple, part.collect())) for part in tables_of()]
+    before, files = state(), len(store._rows("term_freq", store.commits.batches()).inputFiles())
+    store.compact()
+    assert state() == before
+    live = store.commits.batches()
+    assert [(c.first_batch, c.last_batch) for c in live] == [(0, 4), (5, 5)]
+    held = store._rows("term_freq", live)
+    assert len(held.inputFiles()) < files
+    # Superseded rows are gone, but for those that only the open batch replaces.
+    assert held.where("batch_id = 4").select("doc_id").distinct().count() == 20
+    assert held.where("batch_id = 4").count() == 40
+    store.compact()
+    assert store.commits.batches() == live
+    store.deliver(documents({0: "again"}), 5)
+    store.deliver(documents({1: "last"}), 6)
+    for batch in (0, 2, 4):
+        with pytest.raises(ValueError, match="compacted"):
+            store.deliver(documents({0: "late"}), batch)
+    after = state()
+    assert (0, "again", 1) in after[1] and (1, "last", 1) in after[1] and len(after[3]) == 20
+    store.compact(keep_newest=0)
+    assert state() == after and len(store.commits.batches()) == 1
+
+
+def test_tables_without_any_delivery(store):
+    assert store.term_frequency().collect() == [] and store.ids().collect() == []
+    with pytest.raises(LookupError):
+        store.idf()
+    store.compact()
+
+
+def test_results_are_replaced_together(store, documents):
+    store.deliver(documents({1: "apple pear", 2: "pear"}), 0)
+    first = Corpus.stored(store)
+    store.store_results(first.idf_table, first.normalized_tags())
+    former = store.tags()
+    expected = rows(former, "*")
+    second = Corpus(documents({1: "plum"}))
+    store.store_results(second.idf_table, second.normalized_tags())
+    assert rows(store.idf(), "term") == [("plum",)] and rows(former, "*") == expected
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_few_terms_read_their_buckets_only(spark, documents):
+    idf = Corpus(documents({i: f"w{'x' * i} same" for i in range(1, 60)})).idf_table
+    stored = tables.IdfTable(spark, scratch_path(spark, "test_idf"))
+    stored.write(idf, buckets=32)
+    assert rows(stored.read(), "*") == rows(idf, "*")
+    asked = spark.createDataFrame([("same",), ("unknown",)], "term string")
+    found = stored.of_terms(asked)
+    assert "PartitionFilters: [bucket" in plan_of(found)
+    read = {row["f"] for row in found.select(F.input_file_name().alias("f")).collect()}
+    assert 1 <= len(read) <= 2
+    assert rows(found.where("term = 'same'"), "term") == [("same",)]
+    stored.write(idf.limit(0))
+    assert stored.read().collect() == [] and stored.of_terms(asked).collect() == []
+
+
+def test_terms_are_scored_without_moving_the_idf(spark):
+    idf = spark.range(200_000).selectExpr("concat('t', id) AS term", "1L AS df", "id * 1.0D AS idf")
+    path = scratch_path(spark, "test_large_idf")
+    idf.write.parquet(path)
+    terms = spark.createDataFrame([("t5", 2), ("t199999", 1), ("new", 3)], "term string, df bigint")
+    known = weighting.idf_of_terms(terms, spark.read.parquet(path))
+    assert rows(known, "term", "df", "idf") == [("new", 3, 0.0), ("t199999", 1, 199999.0), ("t5", 2, 5.0)]
+    # The rows of the IDF meet the bitmap where they are read, and few are left behind it.
+    lines = plan_of(known).splitlines()
+    scan = next(i for i, line in enumerate(lines) if "FileScan" in line and "idf" in line)
+    above = [line for line in lines[:scan] if "Exchange" in line or "LeftSemi" in line]
+    assert "LeftSemi" in above[-1]
+    near = reducing.may_hold(spark.read.parquet(path), reducing.key_bitmap(terms, "term"), "term")
+    assert near.count() < 20
+    assert "Exchange hash" not in plan_of(near).split("BroadcastExchange")[0]
+
+
+def test_bitmap_holds_all_keys(spark):
+    keys = spark.range(5000).selectExpr("nullif(id, 7) AS a", "concat('k', id % 50) AS b")
+    found = reducing.may_hold(keys, reducing.key_bitmap(keys.where("a % 2 = 0 OR a IS NULL"), "a", "b"), "a", "b")
+    assert 2500 <= found.count() < 2600 and found.where("a IS NULL").count() == 1
+
+
+def test_newest_moves_no_text_for_its_decision(spark):
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "z"), (1, 3, "a", "x"), (None, None, "b", "c"), (None, None, "b", "d"),
+         (2, None, "user", "v"), (2, 1, "user", "w"), (3, None, "user", "v")],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    found = replacing.newest(turns, "conv_id", "turn", "role", "text")
+    expected = [(1, 3, "a", "x"), (2, 1, "user", "w"), (3, None, "user", "v"), (None, None, "b", "d")]
+    assert sorted(map(tuple, found.collect()), key=lambda r: (r[0] is None, r[0])) == expected
+    path = scratch_path(spark, "test_turns")
+    turns.write.parquet(path)
+    written = []
+    def spy(df, name):
+        written.append(plan_of(df))
+        return materialize(df, name)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(replacing, "materialize", spy)
+        replacing.newest(spark.read.parquet(path), "conv_id", "turn", "role", "text").collect()
+    assert "text" not in written[0] and "SortAggregate" not in written[0]
+
+
+def test_files_in_folders_are_listed(spark, tmp_path):
+    for name in ("a b/x.txt", "a b/empty.txt", "c%d/é#1.v2.txt", "_hidden/no.txt", "a b/.no.txt", "c%d/_SUCCESS", "top.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else "word\n")
+    found = [path for (path,) in rows(list_files(spark, str(tmp_path)), "path")]
+    assert [path[len(str(tmp_path)) :] for path in found] == [
+        "/a%20b/empty.txt", "/a%20b/x.txt", "/c%25d/é%231.v2.txt", "/top.txt"
+    ]
+    assert rows(list_files(spark, str(tmp_path), subfolders=False), "path") == [(f"{tmp_path}/top.txt",)]
+    corpus = Corpus.read_text_folder(spark, str(tmp_path), by_folder=True)
+    assert {d for (d,) in rows(corpus.term_freq, "doc_id")} <= {d for (d,) in rows(corpus.documents, "doc_id")}

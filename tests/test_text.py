@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,6 +8,8 @@ from pyspark.sql import functions as F
 import brute
 from termloom.functions import text
 from termloom.functions.text import lines, raw_words, tokens, without_extension
+from termloom.operators import counting
+from termloom.plans.corpus import Corpus
 
 TOKENS = [
     ("don't stop", ["don't", "stop"]),
@@ -96,3 +100,55 @@ def test_raw_words(spark, given_text, expected):
 def test_only_the_last_extension_goes(spark):
     names = ["a.txt", "a.tar.gz", "plain", "dir.d/plain", ".hidden"]
     assert applied(spark, names, without_extension) == ["a", "a.tar", "plain", "dir.d/plain", ""]
+
+
+def cut(spark, texts, longest):
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    parts = counting.cut_texts(table, longest).collect()
+    # Binary numbers of the halves, so those of a text sort as fractions.
+    key = lambda row: (row["doc_id"], int(f"{row['part']:b}"[1:].ljust(64, "0"), 2))
+    return [[r["text"] for r in sorted(parts, key=key) if r["doc_id"] == i] for i in range(len(texts))]
+
+
+CUT_TEXTS = [
+    "",
+    "short",
+    "one two  three\tfour\nfive\u00a0six é\u0301 😀 b😀c " * 40,
+    "x" * 5000,
+    " " * 3000,
+    "a b " + "y" * 70_000 + " c d",
+    "😀 " * 3000,
+    "5,6 1,abc 3rd-abc3 \u0301x " * 50,
+]
+
+
+def test_cut_texts_are_whole_and_short(spark):
+    for longest in (50, 1000):
+        for text, parts in zip(CUT_TEXTS, cut(spark, CUT_TEXTS, longest)):
+            assert "".join(parts) == text
+            for before, after in zip(parts, parts[1:]):
+                assert not before or before[-1] in "\t\n\x0b\f\r "
+            blanks = [len(stretch.encode()) for stretch in re.split(r"(?<=[\t\n\x0b\f\r ])", text)]
+            assert max(len(part.encode()) for part in parts) <= 2 * longest + max(blanks, default=0)
+    assert 8 <= len(cut(spark, ["w " * 4000], 1000)[0]) <= 16
+
+
+def test_cut_texts_count_as_whole_ones(spark):
+    table = spark.createDataFrame(list(enumerate(CUT_TEXTS)), "doc_id bigint, text string")
+    longest = max(len(text.encode()) for text in CUT_TEXTS)
+    same = lambda one, other: one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()
+    whole = counting.term_frequency(table)
+    assert same(counting.term_frequency_of(table, longest, longest=60), whole)
+    assert same(counting.raw_word_frequency_of(table, longest, longest=60), counting.raw_word_frequency(table))
+    assert same(counting.raw_word_top_of(table, 3, longest, longest=60), counting.raw_word_top(table, 3))
+    assert "cut" not in counting.term_frequency_of(table, longest)._jdf.queryExecution().toString()
+    corpus = Corpus(table, longest=60)
+    assert same(corpus.term_freq, whole) and same(corpus.raw_tags(), counting.raw_word_top(table, 300))
+
+
+def test_one_text_is_counted_by_several_tasks(spark):
+    table = spark.range(1).selectExpr("id AS doc_id", "repeat('one two three four ', 50000) AS text")
+    parts = counting.cut_texts(table, 20_000).repartition(16, "doc_id", "part")
+    assert parts.select(F.spark_partition_id()).distinct().count() > 8
+    found = counting.term_frequency_of(table, 950_000, longest=20_000)
+    assert sorted(map(tuple, found.collect())) == [(0, w, 50_000) for w in ("four", "one", "three", "two")]
