@@ -66,6 +66,14 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, SCORE_DIGITS) for c in columns})
 
 
+def _in_millionths(df: DataFrame, *columns: str) -> DataFrame:
+    """Scores as whole numbers of millionths, so that large results compare exactly."""
+    return df.select(
+        *(c for c in df.columns if c not in columns),
+        *(F.round(F.col(c) * 1_000_000).cast("bigint").alias(f"{c}_millionths") for c in columns),
+    )
+
+
 # ---------------------------------------------------------------- queries
 
 
@@ -112,14 +120,14 @@ def idf_with_corpus_document(spark, sf_dir):
 
 
 def tf_idf_sparse(spark, sf_dir):
-    return _rounded(_corpus(spark, sf_dir).scores, "idf", "tf_idf")
+    return _in_millionths(_corpus(spark, sf_dir).scores, "idf", "tf_idf")
 
 
 def tf_idf_small_budget(spark, sf_dir):
     """With most terms too rare to be broadcast."""
     corpus = _corpus(spark, sf_dir)
     scores = weighting.tf_idf(corpus.term_freq_table, corpus.idf_table, budget=20_000)
-    return _rounded(scores, "idf", "tf_idf")
+    return _in_millionths(scores, "idf", "tf_idf")
 
 
 def tf_idf_top300(spark, sf_dir):
@@ -280,7 +288,7 @@ def single_tf_idf_roundtrip(spark, sf_dir):
 def tf_idf_table_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "all_tf_idf")
     write_all_tf_idf(_corpus(spark, sf_dir).scores, path)
-    return _rounded(spark.read.parquet(path).select("doc_id", "term", "tf_idf"), "tf_idf")
+    return _in_millionths(spark.read.parquet(path).select("doc_id", "term", "tf_idf"), "tf_idf")
 
 
 def corpus_term_frequency_of_text_files(spark, sf_dir):
@@ -523,6 +531,11 @@ c AS (SELECT term, round(sum(tf) * any_value(idf), 6) AS tf_idf FROM s GROUP BY
 both_scopes AS (SELECT 'document' AS scope, doc_id, term, floor(tf_idf)::INT AS weight, rank
   FROM tags UNION ALL SELECT 'corpus', -1, term, floor(tf_idf)::INT, rank FROM ({corpus_top}))
 """ + _font_size("weight", "both_scopes")
+    once = scores.replace("tf AS (", "tf AS MATERIALIZED (", 1)
+    scores_rows = once + (
+        "\nSELECT doc_id, term, tf, round(idf * 1000000)::BIGINT AS idf_millionths,"
+        " round(tf_idf * 1000000)::BIGINT AS tf_idf_millionths FROM s"
+    )
     idf_rows = idf_ + "\nSELECT term, df, round(idf, 6) AS idf FROM idf"
     # The grid of the next two is written out here, as the long way round.
     grid = scores + (
@@ -547,10 +560,8 @@ SELECT doc_id, CASE WHEN text = '' THEN 0
         "idf_with_corpus_document": idf_
         + "\nSELECT term, df + 1 AS df, round(ln((n + 1)::DOUBLE / (df + 1)), 6) AS idf"
         " FROM idf, n",
-        "tf_idf_small_budget": scores
-        + "\nSELECT doc_id, term, tf, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf FROM s",
-        "tf_idf_sparse": scores
-        + "\nSELECT doc_id, term, tf, round(idf, 6) AS idf, round(tf_idf, 6) AS tf_idf FROM s",
+        "tf_idf_small_budget": scores_rows,
+        "tf_idf_sparse": scores_rows,
         "tf_idf_top300": tags + "\nSELECT * FROM tags",
         "tags_truncated_weight": weighted + "\nSELECT * FROM wtags",
         "tag_font_size": weighted + "\n" + _font_size("weight", "wtags"),
@@ -595,8 +606,8 @@ SELECT doc_id, unnest(tags).t AS term, -unnest(tags).w AS weight,
         "term_freq_table_roundtrip": tf_rows,
         "tsv_roundtrip": idf_ + "\nSELECT term, round(idf, 6) AS idf FROM idf",
         "single_tf_idf_roundtrip": single + "\nSELECT term, tf_idf FROM c",
-        "tf_idf_table_roundtrip": scores
-        + "\nSELECT doc_id, term, round(tf_idf, 6) AS tf_idf FROM s",
+        "tf_idf_table_roundtrip": once
+        + "\nSELECT doc_id, term, round(tf_idf * 1000000)::BIGINT AS tf_idf_millionths FROM s",
         "corpus_term_frequency_of_text_files": corpus_tf_rows,
         "result_catalog": tags
         + ","
