@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -108,6 +109,15 @@ def parse(page: str) -> Element:
     """The tree of a page. Unclosed and stray tags are taken as browsers mostly do."""
     root = Element("#root")
     node, position, length = root, 0, len(page)
+    # Open elements by name, so that a stray tag needs no look at all of them.
+    opened: Counter[str] = Counter()
+
+    def leave(node: Element, to: Element) -> Element:
+        while node is not to:
+            opened[node.name] -= 1
+            node = node.parent
+        return to
+
     while position < length:
         match = TOKEN.search(page, position)
         if match is None:
@@ -121,20 +131,23 @@ def parse(page: str) -> Element:
             continue
         name = name.lower()
         if match[1]:
-            node = _close(node, name)
+            if opened[name]:
+                node = leave(node, _close(node, name))
             continue
-        node = _make_room(node, name)
+        if name in P_CLOSERS and opened["p"] or any(opened[x] for x in ITEM_CLOSES.get(name, ())):
+            node = leave(node, _make_room(node, name))
         element = Element(name, node, node.dropped or is_beside_text(name, match[3]))
         node.children.append(element)
         if name in RAW_TEXT:
             # Everything up to the end tag is no markup.
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, position)
             position = end.end() if end else length
-        elif name not in VOID and not match[3].rstrip().endswith("/"):
-            node = element
-        elif name not in VOID and name in BLOCK | DROPPED and name not in ("br", "hr"):
+        elif name not in VOID and (
             # A slash on an element with content does not close it.
+            not match[3].rstrip().endswith("/") or name in BLOCK | DROPPED and name not in ("br", "hr")
+        ):
             node = element
+            opened[name] += 1
     return root
 
 

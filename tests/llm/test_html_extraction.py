@@ -1,5 +1,10 @@
+import random
+import re
+import time
+
 import pytest
 
+from termloom.llm import html_extraction
 from termloom.llm.html_extraction import extract, main_text
 
 TEXT = "Some words of the story, with commas, and length enough to count for a paragraph."
@@ -39,3 +44,75 @@ def test_pages(spark):
     n = len(TEXT)
     assert found == [("1", n, "Some"), ("1", n, "Some"), ("2", 0, ""), ("3", (n + 1) * 20_000 - 1, "Some"), ("None", 0, "")]
     assert extract(table.limit(0)).collect() == []
+
+
+def slow_tree(page):
+    """(name, text or children) by a list of open elements, searched through for every tag."""
+    open_, top = [("#root", [])], html_extraction
+    position = 0
+    while position < len(page):
+        match = top.TOKEN.search(page, position)
+        text = page[position : match.start() if match else len(page)]
+        if text:
+            open_[-1][1].append(text)
+        if not match:
+            break
+        position = match.end()
+        if match[2] is None:
+            continue
+        name = match[2].lower()
+        if match[1]:
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i][0] == name:
+                    del open_[i:]
+                    break
+                if open_[i][0] in ("td", "th") and name not in top.BLOCK:
+                    break
+            continue
+        if name in top.P_CLOSERS:
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i][0] == "p":
+                    del open_[i:]
+                    break
+                if open_[i][0] in top.BLOCK:
+                    break
+        if name in top.ITEM_CLOSES:
+            last = None
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i][0] in top.ITEM_BOUNDARY[name]:
+                    break
+                if open_[i][0] in top.ITEM_CLOSES[name]:
+                    last = i
+            if last:
+                del open_[last:]
+        element = (name, [])
+        open_[-1][1].append(element)
+        slash = match[3].rstrip().endswith("/")
+        if name in top.RAW_TEXT:
+            found = re.search(rf"(?i)</{name}(?=[\s/>])[^>]*>?", page[position:])
+            position = position + found.end() if found else len(page)
+        elif name not in top.VOID and (not slash or name in top.BLOCK | top.DROPPED):
+            open_.append(element)
+    return open_[0]
+
+
+def tree_of(element):
+    return (element.name, [c if isinstance(c, str) else tree_of(c) for c in element.children])
+
+
+def test_trees_equal_those_of_a_plain_parser():
+    rng = random.Random(6)
+    names = ["p", "div", "b", "li", "ul", "table", "tr", "td", "th", "dt", "dd", "dl", "a", "article", "br", "script", "h2", "option", "x"]
+    for _ in range(400):
+        page = ""
+        for _ in range(rng.randint(0, 40)):
+            name = rng.choice(names)
+            page += rng.choice([f"<{name}>", f"<{name}>", f"</{name}>", f"<{name} />", "text ", "<!-- c -->", "< "])
+        assert tree_of(html_extraction.parse(page)) == slow_tree(page), page
+
+
+@pytest.mark.parametrize("page", ["<b></x>", "<b><p></p></x>", "<li>", "<div></p>", "<td><b></tr>", "<i>"])
+def test_broken_markup_takes_linear_time(page):
+    started = time.process_time()
+    main_text(page * 50_000)
+    assert time.process_time() - started < 10
