@@ -9,6 +9,7 @@ penalty, labels spans of one language each.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,15 +23,19 @@ from termloom.llm.batches import text_slices, texts_of
 
 #: About so many labelled documents of each language are learned from, chosen by hash.
 SAMPLE_PER_LANGUAGE = 3_000
-#: Most trigrams of the model, and most languages, by frequency.
-MAX_GRAMS = 60_000
-MAX_LANGUAGES = 200
+#: Trigrams are counted by this many classes of their hash: the size of the model per
+#: language, whatever was learned from. No trigram and no language is left out.
+GRAM_CLASSES = 1 << 15
 #: Cost of a change of language, and the most that one word speaks against one.
 SWITCH_PENALTY = 6.0
 WORD_LIMIT = 8.0
 SMOOTHING = 0.5
 #: A language uses a script if this share of its letters is of it.
 SCRIPT_SHARE = 0.01
+#: So few texts are walked one by one, if there are no more languages than that.
+FEW_TEXTS = 12
+FEW_LANGUAGES = 32
+WALK_WORDS = 20_000
 #: Words whose scores a task keeps.
 MAX_WORDS = 400_000
 #: A filter rejects texts of which no language has this share.
@@ -61,11 +66,10 @@ WORD_SQL = r"\p{L}+"
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Languages, the scripts each uses, and log rates of trigrams by language."""
+    """Languages, the scripts each uses, and log rates of trigram classes by language."""
 
     languages: tuple[str, ...]
     scripts: dict[str, tuple[bool, ...]]
-    grams: dict[str, int]
     weights: np.ndarray
 
 
@@ -97,26 +101,30 @@ def _script_column(letter: Column) -> Column:
 def train(documents: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """A model of the labelled rows of `documents` (doc_id, text, lang) not held out.
 
-    Labels are counted over all of them; texts are read of about
-    `sample_per_language` rows of each language, chosen by a hash of the id.
-    Trigrams are counted by Spark; at most MAX_GRAMS counts reach the driver.
-    Without labelled rows the model knows no language.
+    Labels are counted over all of them, and every label is a language; texts
+    are read of about `sample_per_language` rows of each, chosen by a hash of
+    the id. Trigrams are counted by Spark; a count for each class and language
+    reaches the driver. Repeated rows count again. Without labelled rows the
+    model knows no language.
     """
     labelled = documents.where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     ).select("doc_id", "text", "lang")
     by_language = labelled.groupBy("lang").count()
-    counts = by_language.orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    # One row for each language.
+    counts = by_language.collect()
     languages = tuple(sorted(row["lang"] for row in counts))
     if not languages:
-        return LanguageModel((), {}, {}, np.zeros((1, 0)))
-    share = F.lit(0.0)
-    for row in counts:
-        rate = min(1.0, sample_per_language / row["count"])
-        share = F.when(F.col("lang") == row["lang"], rate).otherwise(share)
+        return LanguageModel((), {}, np.zeros((GRAM_CLASSES, 0), np.float32))
+    share = {row["lang"]: min(1.0, sample_per_language / row["count"]) for row in counts}
+    places = documents.sparkSession.createDataFrame(
+        [(lang, share[lang], number) for number, lang in enumerate(languages)],
+        "lang string, share double, language int",
+    )
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
     words = (
-        labelled.where(chance < share)
+        labelled.join(F.broadcast(places), "lang")
+        .where(chance < F.col("share"))
         .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD_SQL), F.lit(0))).alias("word"))
         .groupBy("lang", "word")
         .count()
@@ -125,20 +133,22 @@ def train(documents: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE)
     grams = F.transform(
         F.sequence(F.lit(1), F.length("word")), lambda i: F.substr(framed, i, F.lit(3))
     )
-    by_gram = (
+    class_of = F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(GRAM_CLASSES)).cast("int")
+    by_class = (
         words.select("lang", "count", F.explode(grams).alias("gram"))
-        .groupBy("gram")
-        .pivot("lang", list(languages))
-        .agg(F.sum("count"))
-        .fillna(0)
+        .groupBy("lang", class_of.alias("class"))
+        .agg(F.sum("count").alias("n"))
+        .join(F.broadcast(places), "lang")
+        .select("class", "language", "n")
+        .toArrow()
     )
-    total = sum((F.col(f"`{language}`") for language in languages), F.lit(0))
-    rows = by_gram.orderBy(total.desc(), "gram").limit(MAX_GRAMS).collect()
-    numbers = np.array([[row[lang] for lang in languages] for row in rows], dtype=float)
-    numbers = numbers.reshape(-1, len(languages)) + SMOOTHING
-    weights = np.log(numbers / numbers.sum(axis=0))
-    # A trigram that the model lacks says nothing for or against a language.
-    weights = np.vstack([weights - weights.max(axis=1, keepdims=True), np.zeros(len(languages))])
+    numbers = np.zeros((GRAM_CLASSES, len(languages)))
+    numbers[by_class["class"].to_numpy(), by_class["language"].to_numpy()] = by_class["n"].to_numpy()
+    met = numbers.any(axis=1, keepdims=True)
+    numbers += SMOOTHING
+    weights = np.log(numbers / (numbers * met).sum(axis=0))
+    # A class that was not met says nothing for or against a language.
+    weights = (weights - weights.max(axis=1, keepdims=True)) * met
 
     letters = (
         words.select("lang", "count", _script_column(F.substr("word", F.lit(1), F.lit(1))).alias("script"))
@@ -151,8 +161,7 @@ def train(documents: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE)
     scripts = {
         script: tuple((lang, script) in used for lang in languages) for script in {s for _, s in used}
     }
-    grams_of = {row["gram"]: i for i, row in enumerate(rows)}
-    return LanguageModel(languages, scripts, grams_of, weights.astype(np.float32))
+    return LanguageModel(languages, scripts, weights.astype(np.float32))
 
 
 class WordScores:
@@ -161,6 +170,7 @@ class WordScores:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.ids: dict[str, int] = {}
+        self.classes: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)), np.float32)
         self.new: list[str] = []
 
@@ -180,12 +190,17 @@ class WordScores:
         return self.table
 
     def _score(self, words: list[str]) -> np.ndarray:
-        model, unknown = self.model, len(self.model.weights) - 1
+        model, classes = self.model, self.classes
         numbers, starts = [], []
         for word in words:
             starts.append(len(numbers))
             framed = f"^{word}$"
-            numbers += [model.grams.get(framed[i : i + 3], unknown) for i in range(len(word))]
+            for i in range(len(word)):
+                gram = framed[i : i + 3]
+                number = classes.get(gram)
+                if number is None:
+                    number = classes[gram] = zlib.crc32(gram.encode()) % GRAM_CLASSES
+                numbers.append(number)
         table = np.add.reduceat(model.weights[numbers], starts, axis=0)
         masks = {
             script: np.where(allowed, 0, -np.inf) for script, allowed in model.scripts.items()
@@ -198,7 +213,7 @@ class WordScores:
 
     def trim(self) -> None:
         """Forget all words once there are many. Bounds memory, changes no score."""
-        if len(self.ids) > MAX_WORDS:
+        if len(self.ids) + len(self.classes) > MAX_WORDS:
             self.__init__(self.model)
 
 
@@ -209,7 +224,8 @@ def best_paths(
 
     `words` holds the texts one after the other, `lengths` words each. All texts
     are walked at the same time, longest first, so those still going on are the
-    first ones.
+    first ones. The few longest go on one by one. Of equal values the first
+    language counts.
     """
     order = np.argsort(-lengths, kind="stable")
     sorted_lengths = lengths[order]
@@ -218,18 +234,27 @@ def best_paths(
     # Texts longer than t, for every t.
     active = len(lengths) - np.searchsorted(sorted_lengths[::-1], np.arange(sorted_lengths[0]), "right")
     value = np.zeros((len(lengths), n_languages), np.float64)
-    came_from = np.zeros((len(words), n_languages), np.uint8)
-    own = np.arange(n_languages, dtype=np.uint8)
-    for t, n in enumerate(active):
+    came_from = np.zeros((len(words), n_languages), np.min_scalar_type(n_languages))
+    own = np.arange(n_languages, dtype=came_from.dtype)
+    together = len(active)
+    if n_languages <= FEW_LANGUAGES:
+        together = int(np.searchsorted(-active, -FEW_TEXTS, side="left"))
+    for t, n in enumerate(active[:together]):
         at, v = offsets[:n] + t, value[:n]
         best = v.argmax(axis=1)
         changed = np.take_along_axis(v, best[:, None], axis=1) - penalty
         change = changed > v
         came_from[at] = np.where(change, best[:, None], own)
         value[:n] = np.where(change, changed, v) + scores[words[at]]
-    labels = np.zeros(len(words), np.uint8)
+    alone = range(active[together] if together < len(active) else 0)
+    rest = [slice(offsets[i] + together, offsets[i] + sorted_lengths[i]) for i in alone]
+    for i, part in zip(alone, rest):
+        value[i], came_from[part] = _walk(value[i], scores, words[part], penalty, came_from.dtype)
+    labels = np.zeros(len(words), came_from.dtype)
     current = value.argmax(axis=1)
-    for t in range(len(active) - 1, -1, -1):
+    for i, part in zip(alone, rest):
+        labels[part], current[i] = _walk_back(came_from[part], int(current[i]))
+    for t in range(together - 1, -1, -1):
         n = active[t]
         at = offsets[:n] + t
         labels[at] = current[:n]
@@ -237,6 +262,34 @@ def best_paths(
     return labels
 
 
+def _walk(value: np.ndarray, scores: np.ndarray, words: np.ndarray, penalty: float, kind) -> tuple:
+    """Values after the `words` of one text, from those before, and where each came from."""
+    v, parts = value.tolist(), []
+    languages = range(len(v))
+    for start in range(0, len(words), WALK_WORDS):
+        came = []
+        for row in scores[words[start : start + WALK_WORDS]].tolist():
+            best = max(v)
+            changed, origin = best - penalty, v.index(best)
+            came.append([origin if changed > v[i] else i for i in languages])
+            v = [(changed if changed > x else x) + s for x, s in zip(v, row)]
+        parts.append(np.array(came, kind).reshape(-1, len(v)))
+    return v, np.concatenate(parts)
+
+
+def _walk_back(came_from: np.ndarray, current: int) -> tuple[np.ndarray, int]:
+    """Labels of a text's words that end in `current`, and the label before them."""
+    labels = np.empty(len(came_from), came_from.dtype)
+    for end in range(len(came_from), 0, -WALK_WORDS):
+        start = max(0, end - WALK_WORDS)
+        found = []
+        for row in reversed(came_from[start:end].tolist()):
+            found.append(current)
+            current = row[current]
+        labels[start:end] = found[::-1]
+    return labels, current
+
+
 @dataclass(frozen=True)
 class Labelled:
     """Prediction of one text; spans are (language number, first word, words)."""
@@ -257,7 +310,7 @@ def label_texts(texts: list[str], known: WordScores) -> Iterator[Labelled]:
         letters.append(np.fromiter(map(len, words), np.int32, len(words)))
     lengths = np.array([len(words) for words in numbered])
     scores, languages = known.scores(), known.model.languages
-    labels = np.zeros(0, np.uint8)
+    labels = np.zeros(0, int)
     if lengths.sum():
         labels = best_paths(scores, np.concatenate(numbered), lengths)
     end = 0
@@ -293,8 +346,10 @@ def identify(documents: DataFrame, model: LanguageModel, spans: bool = True) ->
     """(doc_id, lang_pred, score, spans) of every row of `documents` (doc_id, text).
 
     `lang_pred` is the language of most letters and `score` its share of them;
-    `und` with score 0 if a text is null or has no letter. `spans` are (lang,
-    first_word, n_words) over words of letters. Only the text decides.
+    `und` with score 0 if a text is null or has no letter. Of languages with
+    equal shares the first by name counts. `spans` are (lang, first_word,
+    n_words) over words of letters. Only the text decides; repeated rows are
+    predicted alike, an empty table has an empty result.
     """
     kind = "array<struct<lang:string,first_word:bigint,n_words:bigint>>"
     names = ["doc_id", "lang_pred", "score"] + ["spans"] * spans
@@ -324,7 +379,10 @@ def identify(documents: DataFrame, model: LanguageModel, spans: bool = True) ->
 def keep_identified(
     documents: DataFrame, model: LanguageModel, min_score: float = MIN_SCORE
 ) -> DataFrame:
-    """The rows of `documents` of which one language has the share `min_score`, all columns."""
+    """The rows of `documents` of which one language has the share `min_score`, all columns.
+
+    A model that knows no language keeps no row.
+    """
 
     def keep(batches):
         for part, found in _labelled_slices(batches, model):

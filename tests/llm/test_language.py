@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -69,3 +70,40 @@ def test_scripts_narrow(spark):
     table = spark.createDataFrame([(1, "жжжж"), (2, "zzzz")], "doc_id bigint, text string")
     found = {r["doc_id"]: r["lang_pred"] for r in language.identify(table, model).collect()}
     assert found == {1: "ru", 2: "en"}
+
+
+def test_long_texts_walked_alone_have_the_same_path(monkeypatch):
+    rng = np.random.default_rng(8)
+    scores = np.maximum(rng.normal(size=(500, 5)) * 4 - 4, -8).astype("f4")
+    lengths = np.array([3, 0, 700, 45_000, 2, 900])
+    words = rng.integers(0, 500, lengths.sum())
+    found = language.best_paths(scores, words, lengths)
+    monkeypatch.setattr(language, "FEW_LANGUAGES", 0)
+    assert (found == language.best_paths(scores, words, lengths)).all()
+
+
+def test_a_very_long_text_takes_seconds(model):
+    text = "and the this with dans les pour und der die " * 100_000
+    started = time.process_time()
+    (found,) = language.label_texts([text], language.WordScores(model))
+    assert time.process_time() - started < 15
+    assert sum(n for _, _, n in found.spans) == 1_000_000
+
+
+def test_three_hundred_languages(spark):
+    rng = np.random.default_rng(2)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    own = [["".join(rng.choice(letters, 5)) for _ in range(6)] for _ in range(300)]
+    rows = [(i * 4 + copy, " ".join(own[i]), f"l{i:03d}") for i in range(300) for copy in range(4)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(table)
+    assert len(model.languages) == 300
+    asked = spark.createDataFrame([(i, " ".join(own[i] * 3), None) for i in range(300)], table.schema)
+    found = {r["doc_id"]: r["lang_pred"] for r in language.identify(asked, model).collect()}
+    assert sum(found[i] == f"l{i:03d}" for i in range(300)) >= 295
+
+
+def test_an_empty_table_and_repeated_rows(texts, model):
+    assert language.identify(texts([]), model).collect() == []
+    found = language.identify(texts([(1, "the and with"), (1, "the and with")]), model).collect()
+    assert len(found) == 2 and found[0] == found[1]
