@@ -2,33 +2,39 @@
 
 A window of a document has as many word shingles as the item it may hold. Only
 windows that share a shingle with an item of their size can be similar to one,
-so only those are cut out: where a shingle of the document is one of an item,
-the window lies as it would if both stood in the same place. Windows and items
+so only those are looked at: where a shingle of the document is one of an item,
+the window lies as it would if both stood in the same place. The places are found
+first, then cut out of the few documents that have any. Windows and items
 then get fingerprints. Two fingerprints within the radius differ in at most one
 bit in one of a few blocks of bits, so an index of the items' blocks, with one
 bit changed at a time, finds all items within the radius. Their exact similarity,
 shared shingles over all shingles, each by its number, decides.
 
-Everything is built-in functions. The benchmark is the query set: its shingles
-go to the plan in blocks of bounded size, each against all documents.
+Everything is built-in functions. Documents are hashed once for each number of
+words in a shingle, whatever the size of the benchmark.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.quality import let, window_hashes, words_of
+from termloom.operators.reducing import key_bitmap, may_hold
 from termloom.session import materialize
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 #: Similar windows of 0.8 differ in 10 of 64 bits on average, with deviation 3.
 RADIUS = 18
-#: Shingles of the benchmark that one pass over the documents looks for.
-BLOCK_SHINGLES = 20_000
+#: The screen for the benchmark's shingles has so many numbers of 64 bits. Up to 100,000
+#: shingles let a tenth of others pass; more let more pass, which the join removes.
+SCREEN_SLOTS = 1 << 14
+#: Hashes of a text's windows that are cut out together.
+STRETCH = 1 << 21
 
 BITS = 64
 
@@ -93,59 +99,113 @@ def _items(benchmark: DataFrame, shingle_words: int) -> DataFrame:
     )
 
 
-def _windows(documents: DataFrame, positions: DataFrame, wanted: list[int], k: int, longest: int) -> DataFrame:
-    """Item-sized windows (doc_id, text_hash, size, start, hashes) around wanted shingles.
+def _screen(positions: DataFrame) -> Callable[[Column], Column]:
+    """A test that every hash of `positions` passes, and others by chance.
 
-    `positions` (hash, size, position) are those of items. A hit carries only
-    the hashes that a window through it may hold.
+    It looks into a bitmap that is part of the plan, as one constant of
+    SCREEN_SLOTS numbers, however many hashes there are.
+    """
+    slot_of = lambda h: F.pmod(h, F.lit(SCREEN_SLOTS)).cast("int")
+    bit_of = lambda h: F.shiftrightunsigned(h, 58).cast("int")
+    held = positions.select(slot_of(F.col("hash")).alias("slot"), bit_of(F.col("hash")).alias("bit"))
+    bits = [0] * SCREEN_SLOTS
+    # At most SCREEN_SLOTS rows.
+    for row in held.groupBy("slot").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).collect():
+        bits[row["slot"]] = row["bits"]
+    # Spark folds this to an array; numbers one by one would make a plan of as many nodes.
+    bitmap = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    return lambda h: F.getbit(F.get(bitmap, slot_of(h)), bit_of(h)) == 1
+
+
+def _starts(
+    documents: DataFrame, positions: DataFrame, may_be: Callable[[Column], Column], k: int
+) -> DataFrame:
+    """(doc_id, text_hash, size, start) of the windows that lie as items do around a shared shingle.
+
+    `positions` (hash, size, position) are those of items. A hit carries its
+    place alone, and hits of one place of an item give one row.
     """
-    # Spark counts array positions from 1.
-    first = lambda at: F.greatest(at - F.lit(longest), F.lit(0))
 
     def hits(hashes: Column) -> Column:
-        placed = F.transform(hashes, lambda h, at: F.struct(h.alias("hash"), at.alias("at")))
+        placed = F.transform(
+            hashes, lambda h, at: F.struct(h.alias("hash"), at.alias("at"), F.size(hashes).alias("n"))
+        )
+        return F.filter(placed, lambda hit: may_be(hit["hash"]))
+
+    hashed = window_hashes(words_of(F.lower("text")), k)
+    # Named before, or every hit would carry its text to be hashed again.
+    own = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    found = own.select("doc_id", "text_hash", F.inline(let(hashed, hits)))
+    placed = found.join(positions, "hash")
+    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("position"), F.col("n") - F.col("size")))
+    return placed.select("doc_id", "text_hash", "size", start.alias("start")).distinct()
+
+
+def _windows(
+    documents: DataFrame,
+    starts: DataFrame,
+    may_be: Callable[[Column], Column],
+    k: int,
+    min_similarity: float,
+) -> DataFrame:
+    """(doc_id, text_hash, size, hashes, start) of windows that may be similar to an item.
+
+    Windows at `starts` are cut out of their documents, which are few. To reach
+    `min_similarity` so many of a window's shingles must be an item's, so
+    others are dropped by number. Equal windows of a document are one, the first.
+    """
+    names = ["doc_id", "text_hash"]
+    # A row has the starts of one stretch of a text.
+    listed = starts.groupBy(*names, "size", F.floor(F.col("start") * F.col("size") / STRETCH)).agg(
+        F.collect_list(F.struct("size", "start")).alias("places")
+    )
+    listed = materialize(listed.select(*names, "places"), "window_starts")
+    own = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    near = may_hold(own, key_bitmap(listed, *names), *names).alias("d")
+    same = [F.col(f"d.{name}").eqNullSafe(F.col(f"s.{name}")) for name in names]
+    # Rows that share id and text are one document.
+    held = near.join(listed.alias("s"), same).select("d.doc_id", "d.text_hash", "text", "places")
+
+    def cut(hashes: Column) -> Column:
+        # Single elements: a slice would copy the whole array for every window.
+        part = lambda place: F.sequence(
+            place["start"], F.least(place["start"] + place["size"], F.size(hashes)) - 1
+        )
         return F.transform(
-            F.filter(placed, lambda hit: hit["hash"].isin(wanted)),
-            lambda hit: F.struct(
-                hit["hash"].alias("hash"),
-                hit["at"].alias("at"),
-                first(hit["at"]).alias("first"),
-                F.slice(hashes, first(hit["at"]) + 1, F.lit(2 * longest + 1)).alias("around"),
-                F.size(hashes).alias("n"),
+            "places",
+            lambda place: F.struct(
+                place["size"].alias("size"),
+                place["start"].alias("start"),
+                F.transform(part(place), lambda at: F.get(hashes, at)).alias("hashes"),
             ),
         )
 
+    def enough(window: Column) -> Column:
+        shared = F.size(F.filter(window["hashes"], may_be))
+        both = window["size"] + F.size(window["hashes"])
+        # A little less than the bound, which is not exact in doubles.
+        return shared >= both * (min_similarity / (1 + min_similarity)) - 1e-6
+
     hashed = window_hashes(words_of(F.lower("text")), k)
-    found = documents.select(
-        "doc_id", F.xxhash64("text").alias("text_hash"), F.inline(let(hashed, hits))
-    )
-    # At most BLOCK_SHINGLES rows of three numbers.
-    placed = found.join(F.broadcast(positions), "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("position"), F.col("n") - F.col("size")))
+    windows = let(hashed, lambda hashes: F.filter(cut(hashes), enough))
     return (
-        placed.withColumn("start", start)
-        .select(
-            "doc_id",
-            "text_hash",
-            "size",
-            "start",
-            F.slice("around", F.col("start") - F.col("first") + 1, F.col("size")).alias("hashes"),
-        )
-        .distinct()
+        held.select(*names, F.inline(windows))
+        .groupBy(*names, "size", "hashes")
+        .agg(F.min("start").alias("start"))
     )
 
 
-def _leaks_of_block(
+def _leaks_of_size(
     documents: DataFrame, items: DataFrame, k: int, radius: int, min_similarity: float
 ) -> DataFrame:
     """Leaks of a written table of `items` (item_id, hashes), k words to a shingle."""
     placed = items.select(
         F.size("hashes").alias("size"), F.posexplode("hashes").alias("position", "hash")
     ).distinct()
-    rows = placed.select("hash", "size").distinct().collect()
-    wanted = sorted({row["hash"] for row in rows})
-    longest = max(row["size"] for row in rows)
-    windows = _windows(documents, placed, wanted, k, longest)
+    placed = materialize(placed, "item_shingles")
+    may_be = _screen(placed)
+    starts = _starts(documents, placed, may_be, k)
+    windows = _windows(documents, starts, may_be, k, min_similarity)
     marked = windows.withColumn("fingerprint", fingerprint(F.col("hashes")))
     index = items.select(
         "item_id",
@@ -188,19 +248,16 @@ def find_leaks(
     """
     spark = documents.sparkSession
     items = materialize(_items(benchmark, shingle_words), "benchmark_items")
-    sizes = items.groupBy("k").agg(F.sum(F.size("words")).alias("n")).orderBy("k").collect()
+    # As many rows as a shingle has words, at most.
+    sizes = items.select("k").distinct().orderBy("k").collect()
     found = []
     for row in sizes:
         k = row["k"]
-        blocks = -(-row["n"] // BLOCK_SHINGLES)
         hashes = window_hashes(F.col("words"), k)
         of_size = items.where(F.col("k") == k).select("item_id", hashes.alias("hashes"))
         hashed = of_size.withColumn("fingerprint", fingerprint(F.col("hashes")))
         hashed = materialize(hashed, "item_fingerprints")
-        for block in range(blocks):
-            part = hashed.where(F.pmod(F.xxhash64("item_id", "hashes"), F.lit(blocks)) == block)
-            if blocks == 1 or not part.isEmpty():
-                found.append(_leaks_of_block(documents, part, k, radius, min_similarity))
+        found.append(_leaks_of_size(documents, hashed, k, radius, min_similarity))
     if not found:
         return spark.createDataFrame(
             [], "doc_id bigint, text_hash bigint, item_id bigint, similarity double, first_word int"

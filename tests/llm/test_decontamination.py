@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from llm_fixtures import texts  # noqa: F401
@@ -54,9 +55,9 @@ def test_leaks_equal_brute_force(spark, texts, cases):
     assert "Python" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_benchmark_in_blocks_and_removal(spark, texts, cases, monkeypatch):
+def test_a_screen_that_lets_all_pass_and_removal(spark, texts, cases, monkeypatch):
     documents, items = cases
-    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", 150)
+    monkeypatch.setattr(decontamination, "SCREEN_SLOTS", 1)
     benchmark = spark.createDataFrame(items[:14], "item_id bigint, text string")
     table = texts([*documents[:24], (None, items[0][1]), (None, "clean of all")])
     kept = decontamination.remove_leaks(table, benchmark)
@@ -70,3 +71,32 @@ def test_no_documents_and_no_items(spark, texts):
     benchmark = spark.createDataFrame([], "item_id bigint, text string")
     assert decontamination.find_leaks(texts([(1, "a")]), benchmark).collect() == []
     assert decontamination.remove_leaks(texts([(1, "a")]), benchmark).count() == 1
+
+
+def test_repetitive_texts_and_long_items(spark, texts):
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghijkl", k=4)) for _ in range(n))
+    long_item = prose(5000)
+    words = long_item.split()
+    words[2500:2520] = prose(20).split()
+    changed = " ".join(words)
+    items = [(1, "ha " * 30), (2, long_item), (3, "ho he " * 20), (4, prose(30))]
+    documents = [
+        (1, "ha " * 20_000),
+        (2, f"{prose(300)} {changed} {prose(300)}"),
+        (3, "x " + "ho he " * 2_000 + "ha " * 40),
+        (4, prose(10) + " ha" * 2_000),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    started = time.time()
+    found = decontamination.find_leaks(texts(documents), benchmark).collect()
+    assert time.time() - started < 60
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 6), r["first_word"]) for r in found}
+    short = [(1, "ha " * 100), (3, "x " + "ho he " * 60 + "ha " * 40), (4, " ".join(documents[3][1].split()[:100]))]
+    expected = slow_leaks(short, [items[0], items[2]])
+    shift = {(3, 1): 2 * (2_000 - 60)}
+    assert {key: got[key] for key in got if key[0] != 2} == {
+        key: (s, start + shift.get(key, 0)) for key, (s, start) in expected.items()
+    }
+    # 24 of 4,996 shingles are others.
+    assert got[2, 2] == (round(4972 / 5020, 6), 300)
