@@ -55,3 +55,27 @@ def test_counts_of_documents(texts):
         4: (200_000, 200_000, 800_000),
     }
     assert token_counts.count_tokens(texts([]), PIECES_PATH).collect() == []
+
+
+def test_long_words_count_alike_without_a_trie():
+    rng = random.Random(3)
+    scores = token_counts.piece_scores(PIECES_PATH)
+    trie = token_counts.CountingTrie(scores)
+    for n in (1, 2, 17, 199, 900):
+        word = "▁" + "".join(rng.choice("theinanré中😀x1") for _ in range(n))
+        assert trie.count_long(word) == trie.insert(word) == slow_best(word, scores)
+    nodes = len(trie.children)
+    word = "ab7é" * 50_000
+    assert trie.count_all({word})[word] == 150_000 and len(trie.children) == nodes
+    assert word not in trie.counts
+
+
+def test_counts_stay_right_when_dropped(monkeypatch):
+    scores = token_counts.piece_scores(PIECES_PATH)
+    words = {f"▁word{i}" for i in range(200)}
+    whole = token_counts.CountingTrie(scores).count_all(words)
+    monkeypatch.setattr(token_counts, "MAX_WORDS", 3)
+    monkeypatch.setattr(token_counts, "MAX_NODES", 20)
+    trie = token_counts.CountingTrie(scores)
+    for _ in range(2):
+        assert trie.count_all(words) == whole
