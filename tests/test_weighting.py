@@ -123,7 +123,7 @@ def test_documents_of_many_rows(spark):
     lines = [(1, "apple apple"), (1, "pear"), (2, "pear plum"), (1, "apple")]
     parts = spark.createDataFrame(lines, "doc_id bigint, text string")
     expected = [(1, "apple", 3), (1, "pear", 1), (2, "pear", 1), (2, "plum", 1)]
-    assert counting.has_repeated_ids(parts)
+    assert counting.Shape.of(parts).has_repeated_ids
     assert rows(Corpus(parts).term_freq, "doc_id", "term", "tf") == expected
     assert rows(Corpus(parts).size, "n") == [(2,)]
 
@@ -194,7 +194,8 @@ def test_rankings_match_brute_force(documents, k):
 def test_an_unknown_term_on_every_document_meets_the_idf_once(documents):
     corpus = Corpus(documents(["apple", "pear plum"]))
     new = Corpus(documents({i: "kiwi apple" for i in range(40)}))
-    known = weighting.idf_of_terms(new.term_freq_table, corpus.idf_table)
+    terms = counting.document_frequency(new.term_freq_table)
+    known = weighting.idf_of_terms(terms, corpus.idf_table)
     assert rows(known, "term", "df") == [("apple", 40), ("kiwi", 40)]
     found = corpus.score(new)
     assert found.count() == 80
