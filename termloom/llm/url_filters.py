@@ -56,7 +56,10 @@ def domain_and_suffix(host: Column) -> tuple[Column, Column]:
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The longest rule (host/path prefix, verdict) that fits, as a struct, or null."""
+    """The longest rule (host/path prefix, verdict) that fits, as a struct, or null.
+
+    Of rules as long that fit, the last of `rules` wins.
+    """
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for rule, verdict in sorted(rules, key=lambda pair: len(pair[0])):
         of, slash, prefix = rule.partition("/")
@@ -67,12 +70,13 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return found
 
 
-def prior_weight(children: DataFrame) -> Column:
+def prior_weight(children: DataFrame) -> float:
     """How many pages the parents' rates count for, from rows (good, n, parent_rate).
 
     For n pages with prior weight w, the squared distance of a rate from its
     parent's is q * (1 + (n - 1) / (w + 1)) / n on average, q = p * (1 - p).
-    Without spread beyond that of chance the weight is MAX_WEIGHT.
+    Without spread beyond that of chance the weight is MAX_WEIGHT. A job of its
+    own that returns this one number.
     """
     q = F.col("parent_rate") * (1 - F.col("parent_rate"))
     distance = F.pow(F.col("good") / F.col("n") - F.col("parent_rate"), 2)
@@ -80,12 +84,13 @@ def prior_weight(children: DataFrame) -> Column:
     excess = F.sum(F.col("n") * distance) - chance
     weight = F.when((more > 0) & (excess > 0), more / excess - 1)
     bounded = F.greatest(F.lit(MIN_WEIGHT), F.least(F.lit(MAX_WEIGHT), weight))
-    return children.where("n > 0").agg(F.coalesce(bounded, F.lit(MAX_WEIGHT))).scalar()
+    return children.where("n > 0").agg(F.coalesce(bounded, F.lit(MAX_WEIGHT))).first()[0]
 
 
-def _rates(children: DataFrame) -> DataFrame:
-    """`children` (good, n, parent_rate) with their posterior `rate` and its `weight`."""
-    weight = prior_weight(children)
+def _rates(children: DataFrame, name: str) -> DataFrame:
+    """`children` (good, n, parent_rate), written, with their posterior `rate` and its `weight`."""
+    children = materialize(children, name)
+    weight = F.lit(prior_weight(children))
     return children.withColumn("weight", F.col("n") + weight).withColumn(
         "rate", (F.col("good") + weight * F.col("parent_rate")) / F.col("weight")
     )
@@ -96,6 +101,7 @@ def labelled_hosts(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
     A label (doc_id, quality, toxic) belongs to the page of that number. It is
     good with quality 1 and no toxic mark; without a quality it says nothing.
+    Repeated labels of a page, and repeated pages, count each.
     """
     host, _ = host_and_path(F.col("url"))
     hosts = pages.select("page_id", host.alias("host"))
@@ -125,12 +131,14 @@ def host_reputation(hosts: DataFrame) -> DataFrame:
     sums = (F.sum("n").alias("n"), F.sum("good").alias("good"))
     overall = hosts.agg(
         F.coalesce(F.try_divide(F.sum("good"), F.sum("n")), F.lit(1.0))
-    ).scalar()
-    suffixes = _rates(hosts.groupBy("suffix").agg(*sums).withColumn("parent_rate", overall))
+    ).first()[0]
+    of_all = hosts.groupBy("suffix").agg(*sums).withColumn("parent_rate", F.lit(overall))
+    suffixes = _rates(of_all, "suffix_counts")
     of_suffix = suffixes.select("suffix", F.col("rate").alias("parent_rate"))
-    domains = _rates(hosts.groupBy("suffix", "domain").agg(*sums).join(of_suffix, "suffix"))
+    counted = hosts.groupBy("suffix", "domain").agg(*sums)
+    domains = _rates(counted.join(of_suffix, "suffix"), "domain_counts")
     of_domain = domains.select("suffix", "domain", F.col("rate").alias("parent_rate"))
-    rated = _rates(hosts.join(of_domain, ["suffix", "domain"]))
+    rated = _rates(hosts.join(of_domain, ["suffix", "domain"]), "host_counts")
     variance = F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1)
     return rated.select(
         "host", "n", "rate", (F.col("rate") + Z * F.sqrt(variance)).alias("upper")
@@ -147,7 +155,7 @@ def filter_urls(
 
     The longest fitting rule decides, else the host's posterior bound. Repeated
     rows are judged each; a null url has an empty host with a reputation of its
-    own. Hosts meet their pages by a join that Spark plans by the written size
+    own; without pages no row is returned. Hosts meet their pages by a join that Spark plans by the written size
     of the host table, and whose large hosts adaptive execution splits.
     """
     hosts = materialize(labelled_hosts(pages, labels), "labelled_hosts")

@@ -48,3 +48,33 @@ def test_rules_hosts_and_reputation(judged):
 def test_without_labels_and_without_pages(judged):
     assert judged([(1, "http://a.net", "h", 1)], [])[1]["verdict"] == "allow"
     assert judged([], [(1, 0, 1)]) == {}
+
+
+def test_the_bound_decides_not_the_mean(judged):
+    """Few bad labels leave a host of a good domain alone, many block it; repeats count."""
+    bad = [(i, f"http://bad.mixed.org.uk/{i}", "h", 1) for i in range(100, 140)]
+    few = [(i, f"http://few.fine.net/{i}", "h", 1) for i in (150, 151)]
+    good = [(i, f"http://a{i % 9}.fine.net/{i}", "h", 1) for i in range(200, 300)]
+    pages = [*bad, *few, *good, (100, "http://bad.mixed.org.uk/" + "x" * 500_000, "h", 1)]
+    labels = [(i, 0, 0) for i, *_ in bad + few] + [(i, 1, 0) for i, *_ in good] + [(100, 0, 0)]
+    found = judged(pages, labels)
+    assert found[100]["verdict"] == "block" and found[100]["upper"] < url_filters.MIN_GOOD
+    assert found[150]["verdict"] == "allow" and found[150]["upper"] >= url_filters.MIN_GOOD
+    assert found[200]["upper"] > found[150]["upper"] > found[100]["upper"]
+    assert all(row["rate"] <= row["upper"] for row in found.values())
+
+
+def test_the_last_of_equally_long_rules_wins(spark):
+    rules = [("a.com/x", "allow"), ("a.com/x", "block"), ("b.com/x", "allow")]
+    table = spark.createDataFrame([("a.com", "/xy"), ("b.com", "/x"), ("c.com", "/x")], "host string, path string")
+    match = url_filters.matching_rule(table["host"], table["path"], rules)
+    verdicts = [row["verdict"] for row in table.select(match["verdict"].alias("verdict")).collect()]
+    assert verdicts == ["block", "allow", None]
+
+
+def test_a_short_plan(spark):
+    pages = spark.createDataFrame([(1, "http://a.net")], "page_id bigint, url string")
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id bigint, quality int, toxic int")
+    found = url_filters.filter_urls(pages, labels, URL_RULES)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") < 20
