@@ -139,16 +139,20 @@ def shard(
     """(doc_id, size, text_crc32, slot, shard, place, version) of every row of `documents`.
 
     Uses the newest map stored at `path`, or a first one, edits it by the bytes
-    found and stores the next version. `place` numbers the records of a shard
-    from 0 without gaps: slots in order, records of a slot by id. Equal rows
-    get a place each.
+    found and stores the next version; one job at a time may do so. `place`
+    numbers the records of a shard from 0 without gaps: slots in order, records
+    of a slot by id. Equal rows get a place each; an empty table stores a map
+    and returns no row.
     """
     spark = documents.sparkSession
     records = materialize(sized_records(documents, slots), "sized_records")
     by_slot = materialize(slot_bytes(records, slots), "slot_bytes")
     try:
         current = read_map(spark, path)
-    except AnalysisException:  # nothing stored yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Nothing stored yet.
         store_map(first_map(spark, shards, slots), path)
         current = read_map(spark, path)
     store_map(rebalanced(current, by_slot, shards), path)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -47,3 +48,58 @@ def test_a_map_is_edited_not_made_anew(spark, texts, path):
 
 def test_no_documents(texts, path):
     assert sharding.shard(texts([]), path).collect() == []
+
+
+def slow_rebalance(current, sizes, shards):
+    """Largest slots first stay while they fit an equal part; the others go where least is."""
+    share, loads, placed, moving = sum(sizes.values()) / shards, [0] * shards, {}, []
+    held = {}
+    for slot in sorted(current, key=lambda s: (-sizes[s], s)):
+        at = current[slot]
+        held[at] = held.get(at, 0) + sizes[slot]
+        if at < shards and held[at] <= share:
+            loads[at] += sizes[slot]
+            placed[slot] = at
+        else:
+            moving.append(slot)
+    for slot in sorted(moving, key=lambda s: (-sizes[s], -s)):
+        least = loads.index(min(loads))
+        loads[least] += sizes[slot]
+        placed[slot] = least
+    return placed
+
+
+@pytest.mark.parametrize("shards", [1, 3, 5, 8])
+def test_a_map_is_edited_as_a_plain_greedy_version_does(spark, shards):
+    rng = random.Random(shards)
+    sizes = {slot: rng.choice([0, 5, 5, 17, rng.randrange(400), 3000]) for slot in range(97)}
+    current = {slot: rng.randrange(5) for slot in sizes}
+    slot_map = spark.createDataFrame([(s, h, 7) for s, h in current.items()], sharding.MAP)
+    by_slot = spark.createDataFrame([(s, b, 1) for s, b in sizes.items()], "slot int, bytes bigint, rows bigint")
+    found = sharding.rebalanced(slot_map, by_slot, shards).collect()
+    assert {r["version"] for r in found} == {8} and len(found) == len(sizes)
+    assert {r["slot"]: r["shard"] for r in found} == slow_rebalance(current, sizes, shards)
+
+
+def test_a_whole_table_gets_one_more_shard(spark, path):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    before = {r["doc_id"]: r["shard"] for r in sharding.shard(documents, path, shards=39).collect()}
+    after = sharding.shard(documents, path, shards=40).collect()
+    sizes = loads(after)
+    total = sum(sizes.values())
+    assert len(after) == documents.count() and max(sizes.values()) < 1.02 * total / 40
+    assert {r["version"] for r in after} == {3}
+    # Little more than the new shard's part moves.
+    assert sum(r["size"] for r in after if before[r["doc_id"]] != r["shard"]) < 0.06 * total
+
+
+def test_other_errors_are_not_taken_for_an_empty_store(spark, texts, path):
+    spark.createDataFrame([(1, "a")], "slot int, shard string").write.parquet(f"{path}/version=1")
+    with pytest.raises(Exception):
+        sharding.shard(texts([(1, "a")]), path)
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_a_very_long_text(texts, path):
+    found = sharding.shard(texts([(1, "é" * 5_000_000), (2, "")]), path, shards=2).collect()
+    assert sorted(r["size"] for r in found) == [16, 10_000_016]
