@@ -7,8 +7,11 @@ block in one of the tries. Those subtries are the unit of distribution. Within
 one, pairs of nodes are traversed together: both go down a bit, a pair whose
 bits differ adds to its errors, and it is given up once they exceed k.
 
-A subtrie of more than `UNIT_SIZE` fingerprints is dealt in chunks, and every
-pair of chunks is a unit, so no task holds more than two chunks.
+A subtrie of more than `UNIT_SIZE` fingerprints is traversed as tables first: its
+pairs of nodes go down some bits at a time, pairs beyond the error budget are given
+up, and those that hold few enough fingerprints become units. So a fingerprint is
+sent to the nodes that may hold its partners, not to all, and no task holds more
+than a unit, however many near copies one node has.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ BITS = 64
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 
-#: Most fingerprints of a chunk of a subtrie.
+#: Most fingerprints of a unit.
 UNIT_SIZE = 20_000
+#: Bits that large node pairs go down at a time.
+STEP = 4
 #: Fingerprints that a task traverses at a time, if its units are small.
 CHUNK_SIZE = 200_000
 #: Node pairs held at once; the traversal goes depth first beyond that.
@@ -110,12 +115,7 @@ def _descend(
 
 
 def trie_self_join(values: np.ndarray, first_bit: int, k: int) -> Iterator[np.ndarray]:
-    """Index pairs of sorted distinct `values` that agree on the first bits and differ by <= k.
-
-    Breadth first over node pairs in numpy, depth first over parts of the
-    frontier, so memory follows the frontier and not all pairs. Yields the
-    pairs in parts.
-    """
+    """Index pairs of sorted distinct `values` that agree on the first bits and differ by <= k."""
     if len(values) < 2:
         return
     top = values >> np.uint64(BITS - first_bit) if first_bit else np.zeros(len(values), np.uint64)
@@ -124,8 +124,31 @@ def trie_self_join(values: np.ndarray, first_bit: int, k: int) -> Iterator[np.nd
     keep = high - low > 1
     low, high = low[keep].astype(np.int64), high[keep].astype(np.int64)
     zeros = np.zeros(len(low), np.int64)
-    # Columns: first node, second node, errors so far, next bit.
-    stack = [np.stack([low, high, low, high, zeros, zeros + first_bit], axis=1)]
+    yield from _traverse(values, np.stack([low, high, low, high, zeros, zeros + first_bit], axis=1), k)
+
+
+def trie_cross_join(values: np.ndarray, bits: int, k: int) -> Iterator[np.ndarray]:
+    """Index pairs within k bits of sorted distinct `values` between the two nodes they lie below.
+
+    The values have two prefixes of `bits` bits. Pairs below one node are not returned.
+    """
+    prefixes = values >> np.uint64(BITS - bits)
+    cuts = np.flatnonzero(np.diff(prefixes)) + 1
+    if not len(cuts):
+        return
+    middle, errors = int(cuts[0]), int(prefixes[0] ^ prefixes[-1]).bit_count()
+    yield from _traverse(values, np.array([[0, middle, middle, len(values), errors, bits]]), k)
+
+
+def _traverse(values: np.ndarray, start: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    """Index pairs within k bits below the node pairs of `start`.
+
+    Columns of a node pair: first node, second node, errors so far, next bit.
+    Breadth first over node pairs in numpy, depth first over parts of the
+    frontier, so memory follows the frontier and not all pairs. Yields the
+    pairs in parts.
+    """
+    stack = [start]
     while stack:
         pairs = stack.pop()
         if len(pairs) > FRONTIER:
@@ -190,52 +213,111 @@ def blocks(k: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def links_within(distinct: DataFrame, k: int = MAX_DISTANCE, unit_size: int = UNIT_SIZE) -> DataFrame:
-    """(node, other) links that connect all fingerprints within k bits of each other.
+def _node(level: int) -> Column:
+    """The node above a row (width, turned), `level` steps below its subtrie's top."""
+    return F.expr(f"shiftrightunsigned(turned, greatest(0, {BITS} - width - {level * STEP}))")
 
-    `distinct` is a written table (fingerprint) without repeats. A task returns
-    links that span what it found connected, one per fingerprint at most, so a
-    large group of near copies does not return its pairs.
+
+def _node_pairs(held: DataFrame, tops: DataFrame, k: int, unit_size: int) -> list[DataFrame]:
+    """Node pairs (block, low, high) that are units, from level 1 on, one table a level.
+
+    `held` (block, width, top, turned) has the rows of the subtries `tops`
+    (block, top). The loop ends, since nodes of all bits hold one row each.
+    """
+    found, unit_size = [], max(2, unit_size)
+    grown = tops.select("block", F.col("top").alias("low"), F.col("top").alias("high"))
+    while not grown.isEmpty():
+        level = len(found) + 1
+        ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("above")
+        needed = grown.select("block", ends).distinct()
+        children = (
+            held.select("block", _node(level - 1).alias("above"), _node(level).alias("node"))
+            .join(needed, ["block", "above"], "left_semi")
+            .groupBy("block", "above", "node")
+            .agg(F.count("*").alias("n"))
+        )
+        children = materialize(children, "trie_nodes")
+        one, other = (
+            children.select(
+                "block", F.col("above").alias(end), F.col("node").alias(f"{end}_node"), F.col("n").alias(f"{end}_n")
+            )
+            for end in ("low", "high")
+        )
+        same = F.col("low_node") == F.col("high_node")
+        errors = F.bit_count(F.col("low_node").bitwiseXOR(F.col("high_node")))
+        size = F.col("low_n") + F.when(same, 0).otherwise(F.col("high_n"))
+        pairs = (
+            grown.join(one, ["block", "low"])
+            .join(other, ["block", "high"])
+            # Pairs below one node come in both orders.
+            .where((F.col("low") != F.col("high")) | (F.col("low_node") <= F.col("high_node")))
+            .where((errors <= k) & (size > 1))
+            .select("block", F.col("low_node").alias("low"), F.col("high_node").alias("high"), size.alias("n"))
+        )
+        pairs = materialize(pairs, "node_pairs")
+        found.append(pairs.where(F.col("n") <= unit_size).drop("n"))
+        grown = pairs.where(F.col("n") > unit_size).drop("n")
+    return found
+
+
+def _units(distinct: DataFrame, k: int, unit_size: int) -> DataFrame:
+    """(block, level, top, low, high, turned): every fingerprint in all units that it belongs to.
+
+    Small subtries are units of level 0, large ones come as node pairs.
     """
-    table = blocks(k)
     turned = F.array(
         *[
             F.struct(
                 F.lit(i).alias("block"),
+                F.lit(bits).alias("width"),
                 F.shiftrightunsigned(_rotated(F.col("fingerprint"), first), BITS - bits).alias("top"),
                 _rotated(F.col("fingerprint"), first).alias("turned"),
             )
-            for i, (first, bits) in enumerate(table)
+            for i, (first, bits) in enumerate(blocks(k))
         ]
     )
     rows = distinct.select(F.inline(turned))
     sizes = rows.groupBy("block", "top").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > unit_size).select(
-        "block", "top", F.ceil(F.col("n") / unit_size).cast("int").alias("chunks")
-    )
-    large = materialize(large, "large_subtries")
-    chunk = F.pmod(F.xxhash64("turned"), F.col("chunks")).cast("int")
-    partners = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: i != F.col("chunk"))
-    pairs_of = F.transform(
-        partners,
-        lambda i: F.struct(F.least("chunk", i).alias("low"), F.greatest("chunk", i).alias("high")),
-    )
-    alone = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
+    large = materialize(sizes.where(F.col("n") > unit_size).drop("n"), "large_subtries")
+    columns = ["block", "level", "top", "low", "high", "turned"]
+    none = F.lit(0).cast("bigint")
+    units = rows.withColumns({"level": F.lit(0), "low": none, "high": none})
+    if large.isEmpty():
+        return units.select(columns)
+    units = units.join(large, ["block", "top"], "left_anti").select(columns)
+    held = materialize(rows.join(large, ["block", "top"], "left_semi"), "rows_of_large_subtries")
+    for level, pairs in enumerate(_node_pairs(held, large, k, unit_size), start=1):
+        ends = F.explode(F.array_distinct(F.array("low", "high"))).alias("node")
+        members = held.withColumn("node", _node(level)).join(
+            pairs.select("block", "low", "high", ends), ["block", "node"]
+        )
+        units = units.unionByName(members.withColumn("level", F.lit(level)).select(columns))
+    return units
+
+
+def links_within(distinct: DataFrame, k: int = MAX_DISTANCE, unit_size: int = UNIT_SIZE) -> DataFrame:
+    """(node, other) links that connect all fingerprints within k bits of each other.
+
+    `distinct` is a written table (fingerprint) without repeats. A task returns
+    links that span what it found connected, one per fingerprint at most, so a
+    large group of near copies does not return its pairs.
+    """
+    table = blocks(k)
     units = (
-        rows.join(large, ["block", "top"], "left")
-        .withColumn("chunk", chunk)
-        .withColumn("unit", F.explode(F.when(F.col("chunks") > 1, pairs_of).otherwise(alone)))
-        .select("block", "top", "unit.low", "unit.high", "turned")
-        .repartition("block", "top", "low", "high")
+        _units(distinct, k, unit_size)
+        .repartition("block", "level", "top", "low", "high")
         # In the order of unsigned numbers, so that a subtrie's rows stand together.
-        .sortWithinPartitions("block", "low", "high", F.shiftrightunsigned("turned", 1))
+        .sortWithinPartitions("block", "level", "low", "high", F.shiftrightunsigned("turned", 1))
     )
     firsts = {i: first for i, (first, _) in enumerate(table)}
     widths = {i: bits for i, (_, bits) in enumerate(table)}
 
-    def join_units(block: int, values: np.ndarray) -> pa.RecordBatch:
+    def join_units(kind: tuple[int, int, int, int], values: np.ndarray) -> pa.RecordBatch:
+        block, level, low, high = kind
+        bits = min(BITS, widths[block] + level * STEP)
+        join = trie_self_join if low == high else trie_cross_join
         root = np.arange(len(values))
-        for pairs in trie_self_join(values, widths[block], k):
+        for pairs in join(values, bits, k):
             root = merge_roots(root, pairs)
         node = np.flatnonzero(root != np.arange(len(root)))
         ends = []
@@ -249,14 +331,14 @@ def links_within(distinct: DataFrame, k: int = MAX_DISTANCE, unit_size: int = UN
         """Units come in order of kind and top bits; several small ones are joined at a time."""
         held, size, kind = [], 0, None
         for batch in batches:
-            low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
-            kinds = np.stack([batch.column("block").to_numpy(), low, high], axis=1)
+            names = ("block", "level", "low", "high")
+            kinds = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names], axis=1)
             values = batch.column("turned").to_numpy().view(np.uint64)
             changes = np.flatnonzero((np.diff(kinds, axis=0) != 0).any(axis=1)) + 1
             for start, end in pairwise([0, *changes.tolist(), len(values)]):
                 following = tuple(kinds[start].tolist()) if end else kind
                 if held and following != kind:
-                    yield join_units(kind[0], np.sort(np.concatenate(held)))
+                    yield join_units(kind, np.sort(np.concatenate(held)))
                     held, size = [], 0
                 kind = following
                 held.append(values[start:end])
@@ -267,10 +349,10 @@ def links_within(distinct: DataFrame, k: int = MAX_DISTANCE, unit_size: int = UN
                     # The last subtrie may go on.
                     cut = int(np.searchsorted(top, top[-1]))
                     if cut:
-                        yield join_units(kind[0], joined[:cut])
+                        yield join_units(kind, joined[:cut])
                     held, size = [joined[cut:]], len(joined) - cut
         if held:
-            yield join_units(kind[0], np.sort(np.concatenate(held)))
+            yield join_units(kind, np.sort(np.concatenate(held)))
 
     return units.mapInArrow(join_tries, "node bigint, other bigint")
 
@@ -283,7 +365,7 @@ def near_duplicates(
     Fingerprints link at `k` or fewer differing bits; a component is named by
     its smallest document, null ids aside (null if it has no other). Equal
     fingerprints are taken together before anything is joined, so exact copies
-    cost one row. Repeated rows get a row each.
+    cost one row. Repeated rows get a row each; an empty table gives none.
     """
     marked = materialize(fingerprints(documents, size), "fingerprints")
     distinct = materialize(

@@ -57,7 +57,29 @@ def slow_components(prints, k=3):
     return [min((x for x in groups[root(i)] if x is not None), default=None) for i in range(len(prints))]
 
 
-@pytest.mark.parametrize("unit_size", [3, 20_000])
+@pytest.mark.parametrize("bits", [1, 8, 20, 64])
+def test_the_cross_join_finds_the_pairs_of_two_nodes(bits):
+    rng = random.Random(bits)
+    base = rng.getrandbits(64) >> 1
+    other = base ^ 1 << (64 - bits)
+    values = {base, other}
+    for _ in range(300):
+        near = rng.choice([base, other])
+        values.add(near ^ sum({1 << rng.randrange(65 - bits) >> 1 for _ in range(rng.randint(0, 3))}))
+    values = np.array(sorted(values), np.uint64)
+    prefixes = [int(v) >> (64 - bits) for v in values]
+    assert len(set(prefixes)) == 2
+    expected = {
+        (i, j)
+        for i in range(len(values))
+        for j in range(i + 1, len(values))
+        if prefixes[i] != prefixes[j] and (int(values[i]) ^ int(values[j])).bit_count() <= 3
+    }
+    found = [tuple(p) for part in simhash.trie_cross_join(values, bits, 3) for p in part.tolist()]
+    assert len(found) == len(set(found)) and set(found) == expected
+
+
+@pytest.mark.parametrize("unit_size", [3, 40, 20_000])
 def test_links_connect_as_brute_force_does(spark, unit_size):
     rng = random.Random(5)
     values = [rng.getrandbits(64) for _ in range(30)]
@@ -102,3 +124,30 @@ def test_components_of_a_long_chain(spark):
     table = spark.createDataFrame(links, "node bigint, other bigint")
     found = {tuple(r) for r in components.connected_components(table).collect()}
     assert found == {(i, 0) for i in range(1, 61)} | {(200, 100)}
+
+
+def test_large_subtries_send_rows_to_near_nodes_only(spark):
+    """Below one top, rows go to the nodes within the error budget, in units that are small."""
+    rng = random.Random(2)
+    values = {rng.getrandbits(48) for _ in range(4000)}
+    table = spark.createDataFrame([(v,) for v in values], "fingerprint bigint")
+    units = simhash._units(table, 3, 50).where("block = 0").collect()
+    held = {}
+    for row in units:
+        held.setdefault((row["level"], row["low"], row["high"]), []).append(row["turned"])
+    assert max(map(len, held.values())) <= 50
+    pairs = sum(len(rows) ** 2 for rows in held.values())
+    assert pairs < len(values) ** 2
+    together = set()
+    for rows in held.values():
+        together.update((a, b) for a in rows for b in rows if (a ^ b).bit_count() <= 3 and a < b)
+    ordered = sorted(values)
+    assert together == {
+        (a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if (a ^ b).bit_count() <= 3
+    }
+
+
+def test_a_very_long_text(texts):
+    text = "far too long a text " * 300_000
+    found = simhash.near_duplicates(texts([(1, text), (2, text + "end"), (3, "short")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1), (3, 3)]
