@@ -35,6 +35,10 @@ RADIUS = 18
 SCREEN_SLOTS = 1 << 14
 #: Hashes of a text's windows that are cut out together.
 STRETCH = 1 << 21
+#: A window is compared with so many starts before it, as far back as LOOK_BACK hashes.
+#: Larger numbers find more repetition early; equal windows are made one in any case.
+LOOK_BACK_STARTS = 8
+LOOK_BACK = 64
 
 BITS = 64
 
@@ -122,13 +126,21 @@ def _starts(
 ) -> DataFrame:
     """(doc_id, text_hash, size, start) of the windows that lie as items do around a shared shingle.
 
-    `positions` (hash, size, position) are those of items. A hit carries its
-    place alone, and hits of one place of an item give one row.
+    `positions` (hash, before, size, position) are those of items, `before` the
+    hash before. A hit carries its place alone. Where the hashes before agree
+    as well, they lie in the same place of the item, so only the first hit of
+    such a stretch counts.
     """
 
     def hits(hashes: Column) -> Column:
         placed = F.transform(
-            hashes, lambda h, at: F.struct(h.alias("hash"), at.alias("at"), F.size(hashes).alias("n"))
+            hashes,
+            lambda h, at: F.struct(
+                h.alias("hash"),
+                F.get(hashes, at - 1).alias("before_hit"),
+                at.alias("at"),
+                F.size(hashes).alias("n"),
+            ),
         )
         return F.filter(placed, lambda hit: may_be(hit["hash"]))
 
@@ -136,7 +148,8 @@ def _starts(
     # Named before, or every hit would carry its text to be hashed again.
     own = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     found = own.select("doc_id", "text_hash", F.inline(let(hashed, hits)))
-    placed = found.join(positions, "hash")
+    first = ~F.coalesce(F.col("before_hit") == F.col("before"), F.lit(False))
+    placed = found.join(positions, "hash").where(first)
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("position"), F.col("n") - F.col("size")))
     return placed.select("doc_id", "text_hash", "size", start.alias("start")).distinct()
 
@@ -152,12 +165,13 @@ def _windows(
 
     Windows at `starts` are cut out of their documents, which are few. To reach
     `min_similarity` so many of a window's shingles must be an item's, so
-    others are dropped by number. Equal windows of a document are one, the first.
+    others are dropped by number. Equal windows of a document are one, the first;
+    those of texts that repeat themselves are mostly dropped before they are cut.
     """
     names = ["doc_id", "text_hash"]
-    # A row has the starts of one stretch of a text.
+    # A row has the starts of one stretch of a text, in order.
     listed = starts.groupBy(*names, "size", F.floor(F.col("start") * F.col("size") / STRETCH)).agg(
-        F.collect_list(F.struct("size", "start")).alias("places")
+        F.array_sort(F.collect_list(F.struct("size", "start"))).alias("places")
     )
     listed = materialize(listed.select(*names, "places"), "window_starts")
     own = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -166,13 +180,39 @@ def _windows(
     # Rows that share id and text are one document.
     held = near.join(listed.alias("s"), same).select("d.doc_id", "d.text_hash", "text", "places")
 
+    def repeats(hashes: Column, place: Column, earlier: Column) -> Column:
+        """Whether the window at `place` holds the same shingles as the one `earlier`.
+
+        It does if those it leaves out are those that it takes in.
+        """
+        start, back = place["start"], place["start"] - earlier["start"]
+        stretch = lambda first: F.array_sort(
+            F.transform(F.sequence(F.lit(1), back), lambda j: F.get(hashes, first + j))
+        )
+        left, taken = earlier["start"] - 1, earlier["start"] + place["size"] - 1
+        return (
+            (back <= F.least(place["size"], F.lit(LOOK_BACK)))
+            & (F.get(hashes, earlier["start"]) == F.get(hashes, start))
+            & (stretch(left) == stretch(taken))
+        )
+
+    def firsts(hashes: Column) -> Column:
+        def is_new(place: Column, i: Column) -> Column:
+            before = F.sequence(F.lit(1), F.least(i, F.lit(LOOK_BACK_STARTS)))
+            same = lambda q: let(
+                F.get("places", i - q), lambda earlier: repeats(hashes, place, earlier)
+            )
+            return (i == 0) | ~F.exists(before, same)
+
+        return F.filter("places", is_new)
+
     def cut(hashes: Column) -> Column:
         # Single elements: a slice would copy the whole array for every window.
         part = lambda place: F.sequence(
             place["start"], F.least(place["start"] + place["size"], F.size(hashes)) - 1
         )
         return F.transform(
-            "places",
+            firsts(hashes),
             lambda place: F.struct(
                 place["size"].alias("size"),
                 place["start"].alias("start"),
@@ -200,8 +240,10 @@ def _leaks_of_size(
 ) -> DataFrame:
     """Leaks of a written table of `items` (item_id, hashes), k words to a shingle."""
     placed = items.select(
-        F.size("hashes").alias("size"), F.posexplode("hashes").alias("position", "hash")
-    ).distinct()
+        "hashes", F.size("hashes").alias("size"), F.posexplode("hashes").alias("position", "hash")
+    )
+    before = F.get("hashes", F.col("position") - 1).alias("before")
+    placed = placed.select("hash", before, "size", "position").distinct()
     placed = materialize(placed, "item_shingles")
     may_be = _screen(placed)
     starts = _starts(documents, placed, may_be, k)

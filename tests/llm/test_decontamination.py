@@ -100,3 +100,31 @@ def test_repetitive_texts_and_long_items(spark, texts):
     }
     # 24 of 4,996 shingles are others.
     assert got[2, 2] == (round(4972 / 5020, 6), 300)
+
+
+def test_repeated_windows_left_out_change_nothing(spark, texts, monkeypatch):
+    rng = random.Random(4)
+    repeat = lambda words, n: " ".join((words * n)[:n])
+    items = [(i, repeat([rng.choice("ab") for _ in range(period)], 30)) for i, period in enumerate([1, 2, 3, 5, 7])]
+    documents = []
+    for i in range(40):
+        parts = [rng.choice(items)[1].split()[: rng.randint(5, 30)] * rng.randint(1, 6) for _ in range(4)]
+        documents.append((i, " ".join(word for part in parts for word in part)))
+    documents.append((99, "".join(f"{item} x " * 2 for _, item in items)))
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    pruned = decontamination.find_leaks(texts(documents), benchmark).collect()
+    monkeypatch.setattr(decontamination, "LOOK_BACK", 0)
+    assert sorted(pruned) == sorted(decontamination.find_leaks(texts(documents), benchmark).collect())
+    assert {row["item_id"] for row in pruned} == {0, 1, 2, 3, 4}
+
+
+def test_a_million_repetitions(spark, texts):
+    benchmark = spark.createDataFrame([(1, "ha " * 30), (2, "ho he " * 18 + "ho")], "item_id bigint, text string")
+    documents = [(1, "ha " * 1_000_000), (2, "ho he " * 100_000)]
+    started = time.time()
+    found = decontamination.find_leaks(texts(documents), benchmark).collect()
+    assert time.time() - started < 60
+    assert sorted((r["doc_id"], r["item_id"], r["similarity"], r["first_word"]) for r in found) == [
+        (1, 1, 1.0, 0),
+        (2, 2, 1.0, 0),
+    ]
