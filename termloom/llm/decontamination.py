@@ -133,16 +133,15 @@ def _starts(
     """
 
     def hits(hashes: Column) -> Column:
-        placed = F.transform(
-            hashes,
-            lambda h, at: F.struct(
-                h.alias("hash"),
-                F.get(hashes, at - 1).alias("before_hit"),
-                at.alias("at"),
-                F.size(hashes).alias("n"),
-            ),
+        # For no hashes this is the place 0, which has no hash and is no hit.
+        places = F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)))
+        hit = lambda at: F.struct(
+            F.get(hashes, at).alias("hash"),
+            F.get(hashes, at - 1).alias("before_hit"),
+            at.alias("at"),
+            F.size(hashes).alias("n"),
         )
-        return F.filter(placed, lambda hit: may_be(hit["hash"]))
+        return F.transform(F.filter(places, lambda at: may_be(F.get(hashes, at))), hit)
 
     hashed = window_hashes(words_of(F.lower("text")), k)
     # Named before, or every hit would carry its text to be hashed again.
