@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage works on all documents that the one before kept, and is written as
-Parquet and read again before the next.
+Parquet and read again before the next. Empty tables give empty results. Further
+columns are kept by all stages but the last, whatever their names. Rows without
+an id are documents like others.
 """
 
 from __future__ import annotations
@@ -14,28 +16,39 @@ from termloom.session import scratch_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one learned language has the greater part."""
+    """Documents of which one learned language has the greater part.
+
+    Null texts and those without a letter have none. Where no document has a
+    language to learn from, none is kept.
+    """
     return language.keep_identified(docs, language.train(docs))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold all quality rules."""
+    """Documents that hold all quality rules; null and empty texts do not."""
     return quality.keep_good(docs)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that with the smallest id.
+
+    Of rows with the same id one stays, of a group without ids all that differ.
+    Texts without a word are one group.
+    """
     return simhash.keep_one_of_each(docs)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark.
+
+    Items without a word are in no document, nor is anything in an empty text.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.remove_leaks(docs, benchmark)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in token sequences."""
+    """Places of all documents' pieces in token sequences; null texts are empty ones."""
     return packing.pack_documents(docs, VOCABULARY)
 
 
