@@ -66,3 +66,13 @@ def test_only_small_tables_are_divided(spark, documents, monkeypatch):
     monkeypatch.setattr(partitioning, "SMALL_TABLE_BYTES", 1000)
     assert "Exchange" not in physical(partitioning.spread(texts))
     assert sorted(counting.term_frequency(partitioning.spread(texts)).collect()) == divided
+
+
+def test_one_number_of_each_score_is_shuffled(split_documents):
+    corpus = Corpus(split_documents)
+    for tags in (corpus.tags(rounded=True), corpus.normalized_tags()):
+        plan = tags._jdf.queryExecution().optimizedPlan().toString()
+        window = next(line for line in plan.splitlines() if "WindowGroupLimit" in line or "Window [row_number()" in line)
+        assert "score#" not in window and "tf_idf#" in window
+    rounded = {tuple(r) for r in corpus.tags(rounded=True).select("doc_id", "term", "rank").collect()}
+    assert rounded == {tuple(r) for r in corpus.tags().select("doc_id", "term", "rank").collect()}
