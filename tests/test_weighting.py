@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 import brute
+from termloom.functions.weights import rounded
 from termloom.operators import counting, ranking, weighting
 from termloom.plans.corpus import Corpus
 
@@ -213,3 +214,26 @@ def test_a_document_of_many_megabytes(spark):
         ("common", 900_000),
         ("gamma", 300_000),
     ]
+
+
+@pytest.mark.parametrize("digits", [0, 6])
+def test_rounded_is_round(spark, digits):
+    ties = F.expr("(id - 2000) / 2 / power(10, id % 13)")
+    near = ties * (1 + (F.col("id") % 5 - 2) * 2.0**-52)
+    spread = F.rand(7) * F.expr("power(10, id % 25 - 8)")
+    odd = spark.createDataFrame(
+        [(x,) for x in (None, 0.0, -0.0, float("nan"), float("inf"), -float("inf"), 1e300, 5e-324)], "x double"
+    )
+    numbers = spark.range(20_000)
+    for x in (ties, near, spread, -spread):
+        odd = odd.unionByName(numbers.select(x.cast("double").alias("x")))
+    same = rounded(F.col("x"), digits).eqNullSafe(F.round("x", digits))
+    assert odd.where(~same).collect() == []
+
+
+def test_few_scores_are_rounded_by_text(spark):
+    score = spark.range(100_000).select((F.ln(F.col("id") + 2) * 3).alias("x"))
+    raised = F.col("x") * 1e6 + 0.5
+    plan = score.select(rounded(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan
+    assert score.where(F.abs(raised - F.round(raised)) <= 1e-3).count() < 1000
