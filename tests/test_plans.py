@@ -76,3 +76,8 @@ def test_one_number_of_each_score_is_shuffled(split_documents):
         assert "score#" not in window and "tf_idf#" in window
     rounded = {tuple(r) for r in corpus.tags(rounded=True).select("doc_id", "term", "rank").collect()}
     assert rounded == {tuple(r) for r in corpus.tags().select("doc_id", "term", "rank").collect()}
+
+
+def test_rare_terms_are_hashed_not_sorted(split_documents):
+    plan = physical(Corpus(split_documents).scores)
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
