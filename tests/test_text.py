@@ -152,3 +152,12 @@ def test_one_text_is_counted_by_several_tasks(spark):
     assert parts.select(F.spark_partition_id()).distinct().count() > 8
     found = counting.term_frequency_of(table, 950_000, longest=20_000)
     assert sorted(map(tuple, found.collect())) == [(0, w, 50_000) for w in ("four", "one", "three", "two")]
+
+
+def test_raw_words_lose_their_punctuation_without_a_look_at_each_character(documents):
+    table = documents({1: '(Abc.d): "e;f,gh"? <i!jkl/> [kept] a^b-c& .:;()",?!<>/ Ä.ÖÜß\U0001f600', 2: "", 3: None})
+    dropped = table.select("doc_id", F.explode(text.raw_words("text")).alias("word"))
+    assert sorted(map(tuple, dropped.collect())) == [
+        (1, "[kept]"), (1, "a^b-c&"), (1, "abcd"), (1, "efgh"), (1, "ijkl"), (1, "äöüß\U0001f600")
+    ]
+    assert "translate" not in dropped._jdf.queryExecution().optimizedPlan().toString()
